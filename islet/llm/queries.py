@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from islet.llm import packing, token_counts, token_files
+from islet.llm import mixing, packing, quality_rules, token_counts, token_files
 from islet.storage import new_path
 
 
@@ -13,6 +13,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_rules.score(_documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end=2)
@@ -27,9 +32,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_pieces(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op5_token_files": op5_token_files,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
 }
 ORACLE: dict[str, str] = {}
