@@ -17,16 +17,24 @@ import re
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed value: the split that byte-level BPE tokenizers of this kind are defined by.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]")
-SPACES = re.compile(r" (?:\s|\Z)|\s ")
-#: Words that the memo may hold before those seen once are forgotten, and words handled at a time.
+#: Characters that Unicode versions may class differently, or that are beyond the rule below.
+ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+#: Words to which the memo doesn't apply: odd characters, or white space next to the space or line break before or after.
+UNUSUAL = re.compile(r"[^\0\x01\t\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|\A[\0\x01]?\s|\s\Z|\A[\0\x01]?\Z")
+#: Words that the memo may hold before those seen once are forgotten, and pre-tokens of a long text handled at a time.
 MEMO, AT_ONCE = 800_000, 400_000
 
 
+#: Bytes of text encoded together.
+WORK_BYTES = 16 << 20
+
+
 class Encoder:
     """Token ids of texts; one per Python worker and tokenizer file."""
 
@@ -52,11 +60,20 @@ class Encoder:
             and (model.get("type"), model.get("dropout"), model.get("ignore_merges", False)) == ("BPE", None, False)
         )
         self.pattern = regex.compile(BYTE_LEVEL)
-        special = [t["content"] for t in spec.get("added_tokens") or []]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        breaks = self.direct(["\n"])[0]
-        self.splits &= len(breaks) == 1
-        self.newline = int(breaks[0]) if self.splits else -1
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        # byte-level models write a byte as a character: itself if it is visible, else the next one from 256 on
+        visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in visible]
+        self.mapped = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.space = chr(self.mapped[32])
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # the memo does its work
+        alone = {x: ids for x, ids in zip("\n.,", self.direct(list("\n.,")), strict=True)}
+        self.splits &= all(len(x) == 1 for x in alone.values())
+        self.newline, *marks = (int(x[0]) for x in alone.values())
+        self.marks = dict(zip(".,", marks, strict=True))
+        #: what a word's first character says of what stood before it, if not a space: nothing, or a line break
+        self.lead = {"\0": "", "\x01": "\n"}
         self._restart()
 
     def _restart(self) -> None:
@@ -70,26 +87,34 @@ class Encoder:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Take words into the memo that it lacks: after a space, or as they are if they start with a null character."""
-        plain, odd = [w for w in new if "\n" not in w and w[:1] != "\0"], [w for w in new if "\n" in w or w[:1] == "\0"]
-        # A line break before a word is a pre-token of its own, so a call encodes many.
-        groups = ["\n " + "\n ".join(plain[i : i + 2000]) for i in range(0, len(plain), 2000)]
-        ids = np.concatenate([np.zeros(0, np.int32), *self.direct(groups)])
-        breaks = ids == self.newline
-        cuts = np.flatnonzero(breaks)
-        sizes, parts = np.diff(np.append(cuts, len(ids))) - 1, [ids[~breaks]]
-        if len(cuts) != len(plain):
-            parts = self.direct([f" {w}" for w in plain])
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        rest = self.direct([w[1:] if w[0] == "\0" else f" {w}" for w in odd])
-        sizes = np.concatenate([sizes, np.fromiter(map(len, rest), np.int64, len(rest))])
-        first, total = len(self.index), int(sizes.sum())
-        self.index.update(zip([*plain, *odd], range(first, first + len(new)), strict=True))
+        """Take words into the memo; letters, with a mark after them or not, go straight to the library's model."""
+        done, ids, sizes, other, tokenize = [], [], [], [], self.model.tokenize
+        for word in new:
+            body = word[1:] if word[0] in self.lead else word
+            bare = body[:-1] if body[-1:] in self.marks else body
+            if not bare.isalpha():
+                other.append(word)
+                continue
+            if not bare.isascii():
+                bare = bare.encode().decode("latin-1").translate(self.mapped)
+            found = [t.id for t in tokenize(bare if word[0] in self.lead else self.space + bare)]
+            if word[0] == "\x01":
+                found = [self.newline, *found]
+            if body[-1] in self.marks:
+                found.append(self.marks[body[-1]])
+            done.append(word), sizes.append(len(found)), ids.extend(found)
+        rest = self.direct([self.lead.get(w[:1], " ") + w[w[:1] in self.lead :] for w in other])
+        sizes.extend(map(len, rest))
+        self._append(done + other, np.concatenate([np.array(ids, np.int32), *rest]), np.array(sizes, np.int64))
+
+    def _append(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, total = len(self.index), len(ids)
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while first + len(new) > len(self.sizes):
             self.sizes, self.starts, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts, self.seen))
-        self.pool[self.used : self.used + total] = np.concatenate([*parts, *rest])
+        self.pool[self.used : self.used + total] = ids
         self.sizes[first : first + len(new)] = sizes
         self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
@@ -107,13 +132,22 @@ class Encoder:
         self.sizes, self.starts = (np.concatenate([x, np.zeros(1 << 14, np.int64)]) for x in (sizes, ends - sizes))
         self.seen = np.zeros(len(self.sizes), np.int32)
 
-    def _joined(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words in a row, and how many each has."""
+    def _places(self, words: list[str], pieces: bool = False) -> np.ndarray:
+        """Where the memo has the words, after learning those that it lacks; -1 for a word beyond its rule.
+
+        ``pieces``: they are pre-tokens, to which the rule on white space does not apply.
+        """
         if len(self.index) > self.memo:
             self._forget()
-        if new := list(set(tokens).difference(self.index)):
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        if new := set(words).difference(self.index):
+            if not pieces and (beyond := {w for w in new if UNUSUAL.search(w)}):
+                self._learn(list(new - beyond))
+                return np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+            self._learn(list(new))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and how many each has."""
         self.seen += np.bincount(at, minlength=len(self.seen)).astype(np.int32)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
@@ -121,46 +155,40 @@ class Encoder:
         take += np.arange(len(take))
         return self.pool[take], sizes
 
-    def _long(self, text: str) -> np.ndarray:
-        """Ids of a text that is split bit by bit."""
-        found, out = ("\0" + m.group() for m in self.pattern.finditer(text)), []
+    def _split(self, text: str) -> np.ndarray:
+        """Ids of a text that is split into pre-tokens bit by bit."""
+        found, out = ("\0" + m.group() for m in self.pattern.finditer(text)), [np.zeros(0, np.int32)]
         while part := list(islice(found, AT_ONCE)):
-            out.append(self._joined(part)[0])
+            out.append(self._gather(self._places(part, True))[0])
         return np.concatenate(out)
 
-    def flat(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with ``end`` after it, and the offsets of the texts. Null is empty."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        own = np.array(pc.greater(pc.binary_length(texts), 0), bool) & self.splits
+        for name in [*self.special, "\0", "\x01"]:
+            own &= ~np.array(pc.match_substring(texts, name), bool)
+        lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(own)), "\n", " \x01"), " ")
+        firsts, coded = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        firsts -= firsts[0]
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        starts = ["\0" + words[i] for i in at[firsts[:-1]]]  # no space before the first word of a text
+        place = self._places(words + starts)
+        first, at = place[len(words) :], place[: len(words)][at]
+        at[firsts[:-1]] = first
+        if (at < 0).any():  # texts that hold a word beyond the rule
+            hit = np.add.reduceat(at < 0, firsts[:-1]) > 0
+            own[np.flatnonzero(own)[hit]] = False
+            at, firsts = at[np.repeat(~hit, np.diff(firsts))], np.concatenate([[0], np.cumsum(np.diff(firsts)[~hit])])
+        got, sizes = self._gather(at)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[firsts]
         ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-        own, tokens, many = [], [], []
-
-        def settle() -> None:
-            if own:
-                got, sizes = self._joined(tokens)
-                before = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(many)])]
-                for k, i in enumerate(own):
-                    ids[i] = got[before[k] : before[k + 1]]
-                own.clear(), tokens.clear(), many.clear()
-
-        other = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.splits or UNUSUAL.search(text) or (self.special and self.special.search(text)):
-                other.append(i)
-            elif len(text) > 4 << 20:
-                ids[i] = self._long(text)
-            else:
-                if SPACES.search(text):
-                    parts = ["\0" + t for t in self.pattern.findall(text)]
-                else:
-                    parts = text.split(" ")
-                    parts[0] = "\0" + parts[0]
-                own.append(i), tokens.extend(parts), many.append(len(parts))
-                if len(tokens) > AT_ONCE:
-                    settle()
-        settle()
-        for i, got in zip(other, self.direct([texts[i] for i in other]), strict=True):
-            ids[i] = got
+        for k, i in enumerate(np.flatnonzero(own)):
+            ids[i] = got[cuts[k] : cuts[k + 1]]
+        for i in np.flatnonzero(~own):
+            if text := texts[int(i)].as_py():
+                plain = self.splits and not any(x in text for x in self.special) and not ODD.search(text)
+                ids[i] = self._split(text) if plain else self.direct([text])[0]
         if end is not None:
             tail = np.array([end], np.int32)
             ids = [x for own_ids in ids for x in (own_ids, tail)]

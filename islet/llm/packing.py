@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from islet.llm.batches import text_slices
-from islet.llm.bpe import Encoder
+from islet.llm.bpe import WORK_BYTES, Encoder
 from islet.storage import stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"
@@ -23,8 +23,8 @@ def _cut(path: str, end: int, capacity: int, keep_ids: bool):
         encoder, task = Encoder.of(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                ids, ends = encoder.flat(part.column(1).to_pylist(), end)
+            for part in text_slices(batch, "text", WORK_BYTES):
+                ids, ends = encoder.flat(part.column(1), end)
                 sizes = np.diff(ends)
                 many = -(-sizes // capacity)
                 doc = np.repeat(np.arange(len(sizes)), many)

@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from islet.llm.batches import text_slices
-from islet.llm.bpe import Encoder
+from islet.llm.bpe import WORK_BYTES, Encoder
 
 
 def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                ids, offsets = encoder.flat(part.column(1).to_pylist(), end)
+            for part in text_slices(batch, "text", WORK_BYTES):
+                ids, offsets = encoder.flat(part.column(1), end)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 sizes = pa.array(np.diff(offsets).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, lists], ["doc_id", "n_tokens", "ids"])
