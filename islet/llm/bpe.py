@@ -28,11 +28,11 @@ ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]
 #: Words to which the memo doesn't apply: odd characters, or white space next to the space or line break before or after.
 UNUSUAL = re.compile(r"[^\0\x01\t\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|\A[\0\x01]?\s|\s\Z|\A[\0\x01]?\Z")
 #: Words that the memo may hold before those seen once are forgotten, and pre-tokens of a long text handled at a time.
-MEMO, AT_ONCE = 800_000, 400_000
+MEMO, AT_ONCE = 400_000, 400_000
 
 
 #: Bytes of text encoded together.
-WORK_BYTES = 16 << 20
+WORK_BYTES = 6 << 20
 
 
 class Encoder:

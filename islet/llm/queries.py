@@ -4,20 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from islet.llm import mixing, packing, quality_rules, token_counts, token_files
-from islet.storage import new_path
+from islet.llm import language, media, mixing, packing, quality_rules, token_counts, token_files
+from islet.storage import new_path, stage
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = stage(media.store(_documents(spark, sf_dir)), "media", "uncompressed")
+    return media.read(stored).withColumn("feature", F.lower(F.hex("phash"))).drop("pixels", "phash")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score(_documents(spark, sf_dir).select("doc_id", "text"))
     return scored.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out")).select("text", "lang"))
+    return language.predict(docs, model, carry=("doc_id", "held_out"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end=2)
@@ -37,7 +49,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_quality_rules": op2_quality_rules,
+    "op4_language": op4_language,
     "op5_token_files": op5_token_files,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
