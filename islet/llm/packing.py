@@ -63,10 +63,13 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int,
         while left:
             while most and not room[most]:
                 most -= 1
-            if most < length:
-                room[capacity - length].append((left, (length,)))
-                most, left = max(most, capacity - length), 0
-                continue
+            if most < length:  # a new pack is the shortest until it is full
+                fit = capacity // length
+                for many, k in ((left // fit, fit), (1, left % fit)):
+                    if many and k:
+                        room[capacity - k * length].append((many, (length,) * k))
+                        most = max(most, capacity - k * length)
+                break
             many, lengths = room[most].pop()
             taken = min(many, left)
             if many > taken:

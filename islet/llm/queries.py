@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from islet.llm import language, media, mixing, packing, quality_rules, token_counts, token_files
+from islet.llm import language, licenses, media, mixing, packing, quality_rules, quotations, token_counts, token_files
 from islet.storage import new_path, stage
 
 
@@ -36,6 +36,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a source's thousands, then hundreds, by doc_id."""
+    docs = _documents(spark, sf_dir)
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.expr("doc_id div 1000"), F.expr("doc_id div 100"), F.concat("doc_id", F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text")).drop("text")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=1, capacity=2048)
 
@@ -48,13 +55,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_quality_rules": op2_quality_rules,
     "op4_language": op4_language,
     "op5_token_files": op5_token_files,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_quotations": op10_quotations,
 }
 ORACLE: dict[str, str] = {}

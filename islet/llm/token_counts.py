@@ -74,7 +74,7 @@ class Automaton:
                     return -1
                 to = step.get(node << 8 | byte)
             node = to
-        while node:
+        while node > 0:
             pieces += popped[node]
             node = fail[node]
         return pieces if node == 0 else -1
