@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]
 #: Words to which the memo doesn't apply: odd characters, or white space next to the space or line break before or after.
 UNUSUAL = re.compile(r"[^\0\x01\t\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|\A[\0\x01]?\s|\s\Z|\A[\0\x01]?\Z")
 #: Words that the memo may hold before those seen once are forgotten, and pre-tokens of a long text handled at a time.
-MEMO, AT_ONCE = 400_000, 400_000
+MEMO, AT_ONCE = 700_000, 400_000
 
 
 #: Bytes of text encoded together.
@@ -74,6 +74,7 @@ class Encoder:
         self.marks = dict(zip(".,", marks, strict=True))
         #: what a word's first character says of what stood before it, if not a space: nothing, or a line break
         self.lead = {"\0": "", "\x01": "\n"}
+        self.leads = {"": (self.space, []), "\0": ("", []), "\x01": ("", [self.newline])}
         self._restart()
 
     def _restart(self) -> None:
@@ -88,25 +89,31 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Take words into the memo; letters, with a mark after them or not, go straight to the library's model."""
-        done, ids, sizes, other, tokenize = [], [], [], [], self.model.tokenize
-        for word in new:
-            body = word[1:] if word[0] in self.lead else word
-            bare = body[:-1] if body[-1:] in self.marks else body
-            if not bare.isalpha():
-                other.append(word)
-                continue
-            if not bare.isascii():
-                bare = bare.encode().decode("latin-1").translate(self.mapped)
-            found = [t.id for t in tokenize(bare if word[0] in self.lead else self.space + bare)]
-            if word[0] == "\x01":
-                found = [self.newline, *found]
-            if body[-1] in self.marks:
-                found.append(self.marks[body[-1]])
-            done.append(word), sizes.append(len(found)), ids.extend(found)
+        done, ids, sizes, other = [], [], [], new
+        for lead, (first, before) in self.leads.items():
+            mine = [w for w in other if w[0] == lead] if lead else other
+            words = [w for w in mine if w[bool(lead) :].isalpha()]
+            self._model_ids(words, [w[1:] for w in words] if lead else words, first, before, None, done, ids, sizes)
+            for mark, after in self.marks.items():
+                words = [w for w in mine if w[-1] == mark and w[bool(lead) : -1].isalpha()]
+                self._model_ids(words, [w[bool(lead) : -1] for w in words], first, before, after, done, ids, sizes)
+            if not lead:
+                other = [w for w in set(other).difference(done)]
+        other = list(set(other).difference(done))
         rest = self.direct([self.lead.get(w[:1], " ") + w[w[:1] in self.lead :] for w in other])
         sizes.extend(map(len, rest))
         self._append(done + other, np.concatenate([np.array(ids, np.int32), *rest]), np.array(sizes, np.int64))
 
+    def _model_ids(self, words, bodies, first, before, after, done, ids, sizes) -> None:
+        """Ids of words of letters: ``before`` and ``after`` stand around those of ``first`` and the letters."""
+        tokenize, mapped = self.model.tokenize, self.mapped
+        found = [[t.id for t in tokenize(first + (w if w.isascii() else w.encode().decode("latin-1").translate(mapped)))] for w in bodies]
+        if before or after is not None:
+            head, tail = before, [] if after is None else [after]
+            found = [head + f + tail for f in found]
+        done.extend(words), sizes.extend(map(len, found))
+        ids.extend(chain.from_iterable(found))
+
     def _append(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, total = len(self.index), len(ids)
         self.index.update(zip(new, range(first, first + len(new)), strict=True))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from islet.llm import language, licenses, media, mixing, packing, quality_rules, quotations, token_counts, token_files
+from islet.llm import language, licenses, media, mixing, near_duplicates, packing, quality_rules, quotations, token_counts, token_files
 from islet.storage import new_path, stage
 
 
@@ -24,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(_documents(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~F.col("held_out")).select("text", "lang"))
@@ -62,6 +66,7 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op2_quality_rules": op2_quality_rules,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_language": op4_language,
     "op5_token_files": op5_token_files,
     "op6_licenses": op6_licenses,
