@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from islet.operators.edges import oriented, vertices
-from islet.storage import drop_path, new_path
+from islet.storage import drop, stage
 
 MOST_ROUNDS = 200
 
@@ -43,21 +43,14 @@ def stars(edges: DataFrame) -> DataFrame:
     Each round is written to shared storage and its predecessor deleted; the rounds end when the
     edges stay as they are (count and hash sum).
     """
-    spark = edges.sparkSession
-
-    def written(df: DataFrame) -> tuple[DataFrame, str]:
-        path = new_path(spark, "stars")
-        df.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema("u long, v long").parquet(path), path
-
-    now, path = written(oriented(edges).select(F.col("v").cast("long").alias("u"), F.col("u").cast("long").alias("v")))
+    now = stage(oriented(edges).select(F.col("v").cast("long").alias("u"), F.col("u").cast("long").alias("v")), "stars")
     state = _state(now)
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             return now
-        new, new_place = written(_small_star(_large_star(now)))
-        drop_path(spark, path)
-        now, path, last, state = new, new_place, state, _state(new)
+        new = stage(_small_star(_large_star(now)), "stars")
+        drop(now)
+        now, last, state = new, state, _state(new)
         if state == last:
             return now
     raise RuntimeError("components did not settle")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from islet.operators.edges import oriented, vertices
-from islet.storage import stage
+from islet.storage import drop, stage
 
 MOST_PHASES = 64
 
@@ -56,7 +56,9 @@ def _roots(least: DataFrame) -> DataFrame:
         ahead = now.select(F.col("cu").alias("to"), F.col("to").alias("next"), F.col("done").alias("ends"))
         settled = now.where("done")
         moved = now.where("not done").join(ahead, "to").select("cu", F.col("next").alias("to"), F.col("ends").alias("done"))
-        now = stage(settled.unionByName(moved), "hooks")
+        new = stage(settled.unionByName(moved), "hooks")
+        drop(now)
+        now = new
     return now.select("cu", F.col("to").alias("root"))
 
 

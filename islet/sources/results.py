@@ -40,7 +40,7 @@ def read_summaries(spark: SparkSession, path: str, pattern: str | None = None) -
         elif i > 3:
             at = F.when(merged, at).otherwise(F.get("x", F.lit(i - 1)))
         kind = "double" if c in _DOUBLES else "long"
-        out.append(at.cast("double").cast(kind).alias(c))
+        out.append(at.try_cast("double").cast(kind).alias(c))
     return numbers.select("file", *out)
 
 

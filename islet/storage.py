@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_staged: dict[str, dict] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,11 +39,36 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str, compression: str = "zstd", **options: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return it as read again."""
+    """Write ``df`` below the shared folder and return it as read again.
+
+    The files go once no plan reads them any more: the JVM's garbage collector is asked, by a weak
+    reference to the table's file index, whenever something else is staged; ``drop`` and the end of
+    the application don't wait for it.
+    """
     spark = df.sparkSession
+    sweep(spark)
     path = new_path(spark, name)
     df.write.options(compression=compression, **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    index = table._jdf.queryExecution().analyzed().relation().location()
+    _staged.setdefault(spark.sparkContext.applicationId, {})[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(index)
+    table._islet_path = path
+    return table
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete staged tables that no plan can read any more."""
+    mine = _staged.get(spark.sparkContext.applicationId, {})
+    for path in [p for p, index in mine.items() if index.get() is None]:
+        del mine[path]
+        drop_path(spark, path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has run."""
+    for t in tables:
+        _staged.get(t.sparkSession.sparkContext.applicationId, {}).pop(t._islet_path, None)
+        drop_path(t.sparkSession, t._islet_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
