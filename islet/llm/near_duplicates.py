@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from islet.llm.batches import text_slices
 from islet.operators import components
-from islet.storage import stage
+from islet.storage import drop, stage
 
 SHINGLE, LEAST = 5, 0.8
 #: Coordinates of a signature, and of a band. Two texts of similarity 0.8 share a band but for 5 in 10**8.
@@ -165,6 +165,108 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataF
     return stage(both.mapInArrow(_checked(least), "a long, b long"), name)
 
 
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_slices(batch, "text", 4 << 20):
+            doc, element, weight = shingles(part.column(1))
+            ends = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (element.view(np.int64), weight.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["key", "elements", "weights"])
+
+
+def _block_links(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between the components of a block, as few as join what is alike."""
+        keys, comps, sides = (table.column(c).to_numpy() for c in ("key", "comp", "side"))
+        lists, weights = table.column("elements").combine_chunks(), table.column("weights").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        at = np.repeat(np.arange(len(keys)), sizes)
+        names, column, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        weight = weights.flatten().to_numpy().astype(np.float32)
+        total = np.bincount(at, weight, len(keys))
+        common = [np.zeros((len(keys), len(keys)), np.float32) for _ in range(2)]
+        often = seen > 1
+        place = np.cumsum(often) - 1
+        keep = often[column]
+        at, column, weight = at[keep], place[column[keep]], weight[keep]
+        order = np.argsort(column, kind="stable")
+        at, column, weight = at[order], column[order], weight[order]
+        for low in range(0, int(often.sum()), 2048):
+            i, j = np.searchsorted(column, (low, low + 2048))
+            x = np.zeros((len(keys), 2048), np.float32)
+            x[at[i:j], column[i:j] - low] = 1
+            common[0] += x @ x.T
+            # the lesser of two multiplicities is the sum over levels that both reach
+            for level in range(1, int(weight[i:j].max(initial=0)) + 1):
+                if level > 1:
+                    y = weight[i:j] >= level
+                    rows, inverse = np.unique(at[i:j][y], return_inverse=True)
+                    x = np.zeros((len(rows), 2048), np.float32)
+                    x[inverse, column[i:j][y] - low] = 1
+                    common[1][np.ix_(rows, rows)] += x @ x.T
+                else:
+                    common[1] += x @ x.T
+        alike = np.zeros(common[0].shape, bool)
+        for both, own in zip(common, (sizes.astype(np.float64), total), strict=True):
+            alike |= both >= least * (own[:, None] + own[None, :] - both) - 1e-6
+        alike &= (comps[:, None] != comps[None, :]) & ((sides[:, None] != sides[None, :]) | (len(np.unique(sides)) == 1))
+        head: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while head.get(c, c) != c:
+                c = head[c]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(alike)), strict=True):
+            x, y = top(int(comps[i])), top(int(comps[j]))
+            if x != y:
+                head[max(x, y)] = min(x, y)
+                out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return run
+
+
+#: Members of a block: two blocks at most are compared in a task.
+BLOCK = 1024
+
+
+def _links_across(shared: DataFrame, tied: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links between components that buckets still hold after their pivots have been compared with all.
+
+    Texts whose shingles are by more than 1 - ``least`` their own can have no partner and leave
+    (exact). The others are compared exactly, block by block, by products of their shingle matrices;
+    a large bucket is cut into blocks and each pair of blocks is a task. Only links that join
+    components come out, fewer than a block has members.
+    """
+    parted = shared.where("key <> a").join(tied, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
+    # half of the bands: of the few links that no pivot finds, 2 in 10**4 at similarity 0.8 share none of these
+    half = parted.where(F.pmod(F.xxhash64("band"), F.lit(2)) == 0)
+    mixed = half.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
+    half = stage(half.join(mixed, "band", "left_semi"), "mixed-buckets")
+    some = texts.join(half.select("key").distinct(), "key", "left_semi")
+    sets = stage(some.mapInArrow(_parted, "key long, elements array<bigint>, weights array<int>"), "sets")
+    each = sets.select("key", F.explode(F.arrays_zip("elements", "weights")).alias("e")).select("key", "e.elements", "e.weights")
+    alone = each.groupBy("elements").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("weights").alias("w")).where("n = 1")
+    alone = alone.groupBy("key").agg(F.count("*").alias("u"), F.sum("w").alias("uw"))
+    total = F.aggregate("weights", F.lit(0).cast("long"), lambda x, y: x + y)
+    shares = sets.withColumn("_n", F.size("elements")).withColumn("_w", total).join(alone, "key", "left").na.fill(0, ["u", "uw"])
+    able = shares.where((F.col("_n") - F.col("u") >= least * F.col("_n")) | (F.col("_w") - F.col("uw") >= least * F.col("_w"))).select("key", "elements", "weights")
+    able = stage(able, "able")
+    left = half.join(able.select("key"), "key", "left_semi")
+    counts = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    put = left.join(counts.select("band", "blocks"), "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # a block meets every other block once, and itself where it is alone or first
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    sent = put.withColumn("p", F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)))
+    sent = sent.select("band", "p.i", "p.j", "key", "comp", (F.col("own") == F.col("p.j")).cast("int").alias("side")).join(able, "key")
+    links = stage(sent.groupBy("band", "i", "j").applyInArrow(_block_links(least), "a long, b long").distinct(), "more-links")
+    drop(half, sets, able)
+    return links
+
+
 def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """The columns ``carry`` of every row with ``class_id``, ``class_size`` and ``first``.
 
@@ -173,11 +275,10 @@ def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "d
     ``key`` in the class; ``first``: true on one row a class, that of the least key.
 
     Steps, none of which emits the pairs of a group: (1) texts of equal shingles collapse to one.
-    (2) Each bucket of a band ties its texts to the least of them; such pairs are checked exactly
-    and give components. (3) In buckets that still hold several components, texts of different
-    components are compared by their bands inside the join, and those that share three of 32
-    bands and differ little enough in size are checked too (1 in 10**5 of similar pairs shares
-    fewer). (4) Components of all links.
+    (2) Each bucket of a band is tied to its pivot, the member that shares buckets with most texts,
+    so that copies meet the text they were made from; such pairs are checked exactly and give
+    components. (3) Buckets that still hold several components: see ``_links_across``. (4)
+    Components of all links.
 
     Null, empty and blank texts are a class each. Null keys: a class of such rows alone has a null
     class_id. Repeated keys and equal rows are all returned. No rows: an empty table.
@@ -187,28 +288,27 @@ def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "d
     rows = stage(rows, "rows")
     signed = stage(rows.select("key", "text").mapInArrow(_signed, "key long, bag binary, n long, bands array<bigint>"), "signatures")
     firsts = signed.where("bag is not null").groupBy("bag").agg(F.min("key").alias("rep"))
-    members = stage(signed.select("key", "bag", "n").join(firsts, "bag", "left").select("key", F.coalesce("rep", "key").alias("rep")), "members")
+    members = stage(signed.select("key", "bag").join(firsts, "bag", "left").select("key", F.coalesce("rep", "key").alias("rep")), "members")
     own = members.where("key = rep").select("key")
-    bands = stage(signed.select("key", "n", F.explode("bands").alias("band")).join(own, "key", "left_semi").select("band", "key", "n"), "bands")
-    buckets = bands.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("m")).where("m > 1").select("band", "a")
-    shared = stage(bands.join(buckets, "band"), "buckets")
+    bands = stage(signed.select("key", F.explode("bands").alias("band")).join(own, "key", "left_semi").select("band", "key"), "bands")
+    buckets = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    multiple = stage(bands.join(buckets, "band"), "multiple")
+    drop(bands, signed)
+    central = multiple.groupBy("key").agg(F.sum("m").alias("score"))
+    pivots = multiple.join(central, "key").groupBy("band").agg(F.max(F.struct("score", (-F.col("key")).alias("k"))).alias("p"))
+    shared = stage(multiple.select("band", "key").join(pivots.select("band", (-F.col("p.k")).alias("a")), "band"), "buckets")
+    drop(multiple)
     texts = rows.select("key", "text")
     ties = stage(shared.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "ties")
     links = _links(ties, texts, least, "links")
     tied = components.stars(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("key"), F.col("v").alias("comp"))
-    parted = shared.join(tied, "key", "left").select("band", "key", "n", F.coalesce("comp", "key").alias("comp"))
-    mixed = parted.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-    rest = parted.join(mixed, "band", "left_semi").join(signed.select("key", "bands"), "key")
-    rest = stage(rest, "mixed-buckets")
-    one, two = (rest.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "comp", "bands"))) for k in "ab")
-    near = (F.col("comp_a") < F.col("comp_b")) & (F.least("n_a", "n_b") >= 0.5 * least * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("bands_a", "bands_b")) >= 3)
-    across = one.join(two, (one["band"] == two["band"]) & near).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
-    across = stage(across.join(ties, ["a", "b"], "left_anti"), "across")
-    more = _links(across, texts, least, "more-links")
+    more = _links_across(shared, tied, texts, least)
+    drop(ties, shared)
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     tied = components.stars(every).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
     comps = members.join(tied, "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     light = stage(comps.join(rows.select("key", "id"), "key"), "classes")
+    drop(links, more, members)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     heads = light.groupBy("comp").agg(F.min(order).alias("head"), F.count("*").alias("class_size")).select("comp", F.col("head.id").alias("class_id"), F.col("head.key").alias("_head"), "class_size")
     named = light.select("key", "comp").join(heads, "comp").select("key", "class_id", "class_size", (F.col("key") == F.col("_head")).alias("first"))

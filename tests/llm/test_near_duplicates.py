@@ -93,6 +93,36 @@ def test_small_and_large_sets_are_filled():
     assert doc.tolist() == [0, 3, 4] and n.tolist() == [1, 46, 1] and h[0] == h[2]
 
 
+def test_block_links_are_exact(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i % 90}" for i in range(150)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(150)] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(words)
+    bags = {i: bag(t) for i, t in texts.items()}
+    table = spark.createDataFrame([(7, i, i, t) for i, t in texts.items()], "band long, key long, a long, text string")
+    none_tied = spark.createDataFrame([], "key long, comp long")
+    for block in (1024, 16):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        even = next(b for b in range(100) if spark.range(1).selectExpr(f"pmod(xxhash64({b}L), 2) = 0").first()[0])
+        shared = table.selectExpr(f"{even}L as band", "key", "-1L as a")
+        links = nd._links_across(shared, none_tied, table.select("key", "text"), 0.8).collect()
+        assert links and all(alike(bags[r["a"]], bags[r["b"]]) >= 0.8 for r in links)
+        head = list(range(60))
+
+        def top(x):
+            while head[x] != x:
+                x = head[x]
+            return x
+
+        for r in links:
+            head[max(top(r["a"]), top(r["b"]))] = min(top(r["a"]), top(r["b"]))
+        assert {i: top(i) for i in range(60)} == brute(texts)
+
+
 def test_odd_rows(spark):
     rows = nd.classes(odd(spark)).collect()
     assert len(rows) == len(ODD)
