@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from islet.storage import stage
+from islet.storage import drop, stage
 
 #: Licences and the wordings by which files state them. Licence names and their usual headers.
 TEMPLATES = (
@@ -119,6 +119,7 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6, file_share:
     found = stage(passages(kept.select("key", "text"), templates, least), "stated")
     rows = kept.select("_row", "path", "key", directory(F.col("path")).alias("_dir"), F.size(_words(F.col("text"))).alias("_n")).join(found, "key", "left")
     rows = stage(rows, "licensed")
+    drop(kept, found)
     named = F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
     givers = rows.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (named | (F.col("words") >= file_share * F.col("_n"))))
     tops = givers.groupBy("_dir").agg(F.max("score").alias("score"))

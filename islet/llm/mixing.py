@@ -91,7 +91,9 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[f
     spark = docs.sparkSession
     keys = F.xxhash64(F.lit("mix"), F.col(f"`{key}`"), F.col(f"`{text}`"))
     made = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(f"`{text}`").alias("size"), keys.alias("_hash"))
-    made = stage(made.withColumn("_part", F.pmod(F.shiftrightunsigned("_hash", 8), F.lit(PARTS)).cast("int")), "sizes")
+    made = made.withColumns({"_part": F.pmod(F.shiftrightunsigned("_hash", 8), F.lit(PARTS)).cast("int"), "_key": F.monotonically_increasing_id()})
+    rows = stage(made, "sizes")
+    made = rows.drop("_row")
     parts = stage(made.groupBy("_source", "size", "_part").agg(F.count("*").alias("m")), "bins")
     sources = parts.groupBy("_source").agg(F.sum(F.col("size") * F.col("m")).alias("words"), F.sum("m").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect()
     sources.sort(key=lambda s: (s["_source"] is None, (s["_source"] or "").encode()))
@@ -110,11 +112,12 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[f
     ahead = F.sum("m").over(Window.partitionBy("_source", "size").orderBy("_part")) - F.col("m")
     shares = parts.join(rated.withColumnRenamed("size", "_size"), same).drop("_of", "_size").withColumn("spare", F.col("spare") - ahead)
     shares = shares.select(*(F.col(c).alias(f"{c}_") for c in ("_source", "size", "_part")), "source_size", "target", "rate", "each", "spare")
-    # a key without nulls, so that documents and shares meet by hash
     mine = (made["_source"].eqNullSafe(F.col("_source_"))) & (made["size"] == F.col("size_")) & (made["_part"] == F.col("_part_"))
     ranked = made.join(shares, mine).withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "size", "_part").orderBy("_hash")))
     copies = F.col("each") + (F.col("_rank") <= F.col("spare")).cast("long")
-    return ranked.select("_row.*", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    # ranks are found without the carried columns, which then move once
+    light = ranked.select("_key", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select("_row", "_key").join(light, "_key").select("_row.*", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from islet.storage import stage
+from islet.storage import drop, stage
 
 #: White space between words, and the characters that count as symbols. Fixed values of the result's definition.
 BLANK, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
@@ -125,8 +125,28 @@ def fit(patterns: DataFrame, rules: tuple[Rule, ...], false_alarms: float = 0.01
     return now
 
 
+def votes(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with ``f`` and a column of votes for each rule."""
+    return features(docs, text).withColumns({r.name: r.vote() for r in rules})
+
+
+def weigh(voted: DataFrame, rules: tuple[Rule, ...] = RULES) -> Weights:
+    """Weights of the rules from the vote patterns of all rows."""
+    patterns = stage(voted.groupBy(*(r.name for r in rules)).agg(F.count("*").alias("n")).coalesce(1), "votes")
+    weights = fit(patterns, rules)
+    drop(patterns)
+    return weights
+
+
+def judge(voted: DataFrame, weights: Weights, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+    """``voted`` with ``posterior``, ``base_failed`` and ``kept``."""
+    failed = (F.col("f.n_words") < 50) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
+    scored = voted.withColumns({"posterior": weights.posterior(rules), "base_failed": failed})
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
 def score(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``f`` (counts), a vote column per rule, ``posterior``, ``base_failed`` and ``kept``.
+    """``docs`` without the text, with ``f`` (counts), a vote column per rule, ``posterior``, ``base_failed`` and ``kept``.
 
     The counts are written once; vote patterns are counted from them, the rules are weighed on the
     pattern counts of all documents, and each row's posterior follows from its votes.
@@ -137,16 +157,15 @@ def score(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     themselves, so ties, null or repeated ids change nothing. No rows: an empty table. Columns of
     ``docs`` must not be named like the added ones (``keep`` takes any).
     """
-    counted = features(docs, text).withColumns({r.name: r.vote() for r in rules})
-    counted = stage(counted, "quality")
-    patterns = stage(counted.groupBy(*(r.name for r in rules)).agg(F.count("*").alias("n")).coalesce(1), "votes")
-    weights = fit(patterns, rules)
-    failed = (F.col("f.n_words") < 50) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
-    scored = counted.withColumns({"posterior": weights.posterior(rules), "base_failed": failed})
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    voted = stage(votes(docs, text, rules).drop(text), "quality")
+    return judge(voted, weigh(voted, rules), rules, threshold)
 
 
 def keep(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, with their own columns whatever the names."""
+    """The rows of ``docs`` that ``score`` would keep, with their own columns whatever the names.
+
+    Texts are counted twice, once to weigh the rules and once to judge, so that none is written.
+    """
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    return score(whole, "_text", threshold=threshold).where("kept").select("_row.*")
+    voted = votes(whole, "_text")
+    return judge(voted, weigh(voted), threshold=threshold).where("kept").select("_row.*")

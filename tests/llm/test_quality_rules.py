@@ -40,6 +40,7 @@ def test_odd_rows(spark):
     scored = q.score(odd(spark).select("doc_id", "text")).collect()
     assert len(scored) == len(ODD)
     assert [r["f"]["n_words"] for r in scored if r["doc_id"] in (1, 2, 3)] == [0, 0, 0]
+    assert "text" not in scored[0].asDict()
     assert q.keep(odd(spark)).columns == odd(spark).columns
     assert q.keep(none(spark)).count() == 0
     assert q.score(none(spark).select("doc_id", "text")).count() == 0
@@ -63,7 +64,7 @@ def test_fit_recovers_accuracies(spark):
         good = rng.random() < 0.8
         rows.append(tuple(None if rng.random() < 0.2 else int(good == (rng.random() < true[n][0 if good else 1])) for n in names))
     table = spark.createDataFrame(rows, "a int, b int, c int, d int").groupBy(*names).count().withColumnRenamed("count", "n").cache()
-    w = q.fit(table, rules)
+    w = q.fit(table, rules, false_alarms=0.2)
     assert abs(w.good - 0.8) < 0.05
     for n, a, b in zip(names, w.on_good, w.on_bad):
         assert abs(a - true[n][0]) < 0.06 and abs(b - true[n][1]) < 0.12
