@@ -31,7 +31,8 @@ def table(spark, rows):
 def test_hand_made_graphs(spark, name):
     rows, listing, moments, phases, rounds, roots = GRAPHS[name]
     e = table(spark, rows)
-    labels = components.labels(e)
+    labels = components.labels(e, 0)
+    assert sorted(map(tuple, components.labels(e).collect())) == sorted(map(tuple, labels.collect()))
     assert {r["iC"]: r["nC"] for r in census.sizes(labels).collect()} == listing
     got = census.stats(census.sizes(labels)).first()
     assert (got["n"], got["f"]) == (sum(listing.values()), len(listing))
@@ -69,6 +70,7 @@ def test_engines_agree_on_random_graphs(spark, p):
     e = generators.exact(spark, 400, p / 400, 5).cache()
     rows = [tuple(r) for r in e.collect()]
     labels = sorted(map(tuple, components.labels(e).collect()))
+    assert sorted(map(tuple, components.labels(e, 0).collect())) == labels
     merged = merging.merge(e)
     assert sorted(map(tuple, merged.labels.select("id", "comp").collect())) == labels
     assert sorted((r["lo"], r["hi"]) for r in merged.forest.collect()) == kruskal(rows)
@@ -80,7 +82,7 @@ def test_engines_agree_on_random_graphs(spark, p):
 
 def test_long_path_needs_few_rounds(spark):
     e = spark.range(3000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    assert components.labels(e).where("comp <> 0").isEmpty()
+    assert components.labels(e, 0).where("comp <> 0").isEmpty() and components.labels(e).where("comp <> 0").isEmpty()
 
 
 def test_search_from_chosen_roots(spark):
