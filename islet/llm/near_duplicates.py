@@ -301,11 +301,11 @@ def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "d
     texts = rows.select("key", "text")
     ties = stage(shared.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "ties")
     links = _links(ties, texts, least, "links")
-    tied = components.stars(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("key"), F.col("v").alias("comp"))
+    tied = components.stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")), 0).select(F.col("u").alias("key"), F.col("v").alias("comp"))
     more = _links_across(shared, tied, texts, least)
     drop(ties, shared)
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    tied = components.stars(every).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
+    tied = components.stars(every, 0).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
     comps = members.join(tied, "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     light = stage(comps.join(rows.select("key", "id"), "key"), "classes")
     drop(links, more, members)
