@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain, islice
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,11 @@ ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]
 #: Words to which the memo doesn't apply: odd characters, or white space next to the space or line break before or after.
 UNUSUAL = re.compile(r"[^\0\x01\t\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|\A[\0\x01]?\s|\s\Z|\A[\0\x01]?\Z")
 #: Words that the memo may hold before those seen once are forgotten, and pre-tokens of a long text handled at a time.
-MEMO, AT_ONCE = 700_000, 400_000
+MEMO, AT_ONCE = 500_000, 400_000
 
 
 #: Bytes of text encoded together.
-WORK_BYTES = 6 << 20
+WORK_BYTES = 5 << 20
 
 
 class Encoder:
@@ -71,7 +71,7 @@ class Encoder:
         alone = {x: ids for x, ids in zip("\n.,", self.direct(list("\n.,")), strict=True)}
         self.splits &= all(len(x) == 1 for x in alone.values())
         self.newline, *marks = (int(x[0]) for x in alone.values())
-        self.marks = dict(zip(".,", marks, strict=True))
+        self.marks = {"": [], ".": marks[:1], ",": marks[1:]}
         #: what a word's first character says of what stood before it, if not a space: nothing, or a line break
         self.lead = {"\0": "", "\x01": "\n"}
         self.leads = {"": (self.space, []), "\0": ("", []), "\x01": ("", [self.newline])}
@@ -89,30 +89,30 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Take words into the memo; letters, with a mark after them or not, go straight to the library's model."""
-        done, ids, sizes, other = [], [], [], new
+        plain = [w for w in new if w.isalpha()]
+        self._add_letters(plain, plain, self.space, [], [])
+        other = list(set(new).difference(plain))
         for lead, (first, before) in self.leads.items():
             mine = [w for w in other if w[0] == lead] if lead else other
-            words = [w for w in mine if w[bool(lead) :].isalpha()]
-            self._model_ids(words, [w[1:] for w in words] if lead else words, first, before, None, done, ids, sizes)
             for mark, after in self.marks.items():
-                words = [w for w in mine if w[-1] == mark and w[bool(lead) : -1].isalpha()]
-                self._model_ids(words, [w[bool(lead) : -1] for w in words], first, before, after, done, ids, sizes)
-            if not lead:
-                other = [w for w in set(other).difference(done)]
-        other = list(set(other).difference(done))
+                words = [w for w in mine if (w[-1] == mark if mark else lead) and w[bool(lead) : -1 if mark else None].isalpha()]
+                self._add_letters(words, [w[bool(lead) : -1 if mark else None] for w in words], first, before, after)
+        other = list(set(other).difference(self.index))
         rest = self.direct([self.lead.get(w[:1], " ") + w[w[:1] in self.lead :] for w in other])
-        sizes.extend(map(len, rest))
-        self._append(done + other, np.concatenate([np.array(ids, np.int32), *rest]), np.array(sizes, np.int64))
+        self._append(other, np.concatenate([np.zeros(0, np.int32), *rest]), np.fromiter(map(len, rest), np.int64, len(rest)))
 
-    def _model_ids(self, words, bodies, first, before, after, done, ids, sizes) -> None:
-        """Ids of words of letters: ``before`` and ``after`` stand around those of ``first`` and the letters."""
+    def _add_letters(self, words: list[str], bodies: list[str], first: str, before: list[int], after: list[int]) -> None:
+        """Words whose ids are ``before``, those of ``first`` and the letters of the body, and ``after``."""
         tokenize, mapped = self.model.tokenize, self.mapped
-        found = [[t.id for t in tokenize(first + (w if w.isascii() else w.encode().decode("latin-1").translate(mapped)))] for w in bodies]
-        if before or after is not None:
-            head, tail = before, [] if after is None else [after]
-            found = [head + f + tail for f in found]
-        done.extend(words), sizes.extend(map(len, found))
-        ids.extend(chain.from_iterable(found))
+        found = [tokenize(first + (w if w.isascii() else w.encode().decode("latin-1").translate(mapped))) for w in bodies]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.array([t.id for tokens in found for t in tokens], np.int32)
+        for extra, at_end in ((before, False), (after, True)):
+            for x in extra:
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends if at_end else ends - sizes, x)
+                sizes = sizes + 1
+        self._append(words, ids, sizes)
 
     def _append(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first, total = len(self.index), len(ids)
@@ -128,13 +128,15 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the words seen more than once since the last time, at most half of the memo."""
-        kept = [(t, i) for t, i in self.index.items() if self.seen[i] > 1][: self.memo // 2]
-        at = np.fromiter((i for _, i in kept), np.int64, len(kept))
+        at = np.flatnonzero(self.seen[: len(self.index)] > 1)[: self.memo // 2]
+        mask = np.zeros(len(self.index), bool)
+        mask[at] = True
+        kept = list(compress(self.index, mask.tolist()))
         sizes, starts, pool = self.sizes[at], self.starts[at], self.pool
         self._restart()
         ends = np.cumsum(sizes)
         ids = pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        self.index = {t: k for k, (t, _) in enumerate(kept)}
+        self.index = dict(zip(kept, range(len(kept)), strict=True))
         self.pool, self.used = np.concatenate([ids, np.zeros(1 << 16, np.int32)]), len(ids)
         self.sizes, self.starts = (np.concatenate([x, np.zeros(1 << 14, np.int64)]) for x in (sizes, ends - sizes))
         self.seen = np.zeros(len(self.sizes), np.int32)

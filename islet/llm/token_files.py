@@ -47,6 +47,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, encoding: str =
     ids = ordered.mapInArrow(_encoded(tokenizer, end), "doc_id long, n_tokens int, ids array<int>")
     options = {
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
         "parquet.block.size": str(row_group_mb << 20),
         "parquet.page.row.count.limit": str(page_rows),
         "parquet.writer.version": "PARQUET_2_0",
