@@ -113,13 +113,13 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6, file_share:
     own. Columns of ``files`` may have any names but the added ones. No rows: an empty table.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in files.columns)).alias("_row")
-    kept = stage(files.select(whole, F.monotonically_increasing_id().alias("key")), "files")
+    staged = stage(files.select(whole, F.monotonically_increasing_id().alias("key")), "files")
     path, text = F.col("_row.path").cast("string").alias("path"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text")
-    kept = kept.select("_row", "key", path, text)
+    kept = staged.select("_row", "key", path, text)
     found = stage(passages(kept.select("key", "text"), templates, least), "stated")
     rows = kept.select("_row", "path", "key", directory(F.col("path")).alias("_dir"), F.size(_words(F.col("text"))).alias("_n")).join(found, "key", "left")
     rows = stage(rows, "licensed")
-    drop(kept, found)
+    drop(staged, found)
     named = F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
     givers = rows.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (named | (F.col("words") >= file_share * F.col("_n"))))
     tops = givers.groupBy("_dir").agg(F.max("score").alias("score"))

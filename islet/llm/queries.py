@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from islet.llm import language, licenses, media, mixing, near_duplicates, packing, quality_rules, quotations, token_counts, token_files
+from islet.llm import language, licenses, media, mixing, near_duplicates, oracle, packing, quality_rules, quotations, token_counts, token_files
 from islet.storage import new_path, stage
 
 
@@ -75,4 +75,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quotations": op10_quotations,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.ORACLE
