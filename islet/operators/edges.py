@@ -59,3 +59,11 @@ def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges of which no endpoint is among the ids of ``gone``."""
     left = edges.join(gone.select(F.col("id").alias("u")), "u", "left_anti")
     return left.join(gone.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v")
+
+
+def sampled(edges: DataFrame, p: float, seed: int) -> DataFrame:
+    """Each undirected edge with probability ``p``; the same edges in every run, whatever the partitioning."""
+    if not 0 <= p <= 1:
+        raise ValueError("p must be from 0 to 1")
+    draw = F.shiftrightunsigned(F.xxhash64("u", "v", F.lit(seed).cast("long")), 11) / F.lit(float(1 << 53))
+    return oriented(edges).where(draw < p)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from islet.functions.scalars import machine_hash
 from islet.operators import census, components, edges, generators, merging, search
 from islet.plans import reports
-from islet.sources import edge_files
+from islet.sources import edge_files, results
 from islet.storage import new_path, stage
 
 #: Edge expressions by graph, good in Spark and in DuckDB.
@@ -120,6 +120,18 @@ def _forest_size(e: DataFrame) -> DataFrame:
     return merging.merge(e).forest.agg(F.count("*").alias("forest_edges"))
 
 
+def _listing_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "listing")
+    results.write_listing(_listing(graph(spark, sf_dir, "order_part")), path)
+    return spark.read.schema("iC long, nC long").csv(path, header=True)
+
+
+def _forest_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest alone gives the components of the whole graph."""
+    forest = merging.merge(graph(spark, sf_dir, "order_part")).forest
+    return _listing(forest.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+
+
 QUERIES = {
     "edges_reversed": _on("order_part", edges.reverse),
     "edges_dedup": _on("part_supplier", edges.oriented),
@@ -151,6 +163,11 @@ QUERIES = {
     "bfs_parent": lambda s, d: search.levels(graph(s, d, "order_part")).select("id", "parent"),
     "bfs_rounds": lambda s, d: search.rounds(search.levels(graph(s, d, "order_part"))),
     "bfs_subtree": lambda s, d: search.subtrees(search.levels(graph(s, d, "customer_order"))).where("subtree > 1"),
+    "cc_summary": lambda s, d: _rounded(census.summary(graph(s, d, "order_part_45")).select("n", "f", "cl", "cm", "cu", "cv")),
+    "component_listing_file": _listing_file,
+    "edges_sampled": lambda s, d: edges.sampled(graph(s, d, "part_supplier"), 0.25, 3),
+    "forest_is_spanning": _forest_spans,
+    "generator_sweep": lambda s, d: reports.sweep(s).groupBy("regime", "sampler").agg(F.count("*").alias("graphs"), F.max("n").alias("largest")),
     "machine_hash": _machine_hash,
     "scaling_regression": _regression,
     "text_parse": _text_parse,
@@ -187,6 +204,10 @@ ORACLE = {
     "bfs_levels": _with("order_part", _LEVELS + " SELECT b.id, l.comp AS root, b.level FROM b JOIN l ON b.id = l.id"),
     "bfs_parent": _with("order_part", _LEVELS + " SELECT b.id, coalesce(min(a.id), b.id) AS parent FROM b LEFT JOIN s ON s.u = b.id AND b.level > 0 LEFT JOIN b a ON a.id = s.v AND a.level = b.level - 1 GROUP BY b.id"),
     "bfs_rounds": _with("order_part", _LEVELS + ", d AS (SELECT l.comp, max(b.level) AS d FROM b JOIN l ON b.id = l.id GROUP BY l.comp) SELECT CAST(coalesce(sum(CASE WHEN d = 0 THEN 1 ELSE 2 * d + 2 END), 0) AS BIGINT) AS r FROM d"),
+    "cc_summary": _with("order_part_45", f"{_SIZES} {_STATS}"),
+    "component_listing_file": _with("order_part", _SIZES + " SELECT iC, nC FROM c"),
+    "forest_is_spanning": _with("order_part", _SIZES + " SELECT iC, nC FROM c"),
+    "generator_sweep": "SELECT regime, sampler, CAST(33 AS BIGINT) AS graphs, CAST(1048576 AS BIGINT) AS largest FROM (VALUES ('1-'), ('1'), ('1+'), ('L-'), ('L'), ('L+')) r(regime), (VALUES ('exact'), ('monte_carlo')) s(sampler)",
     "machine_hash": "SELECT CAST(o_orderkey AS BIGINT) AS v, CAST(((CAST(1234567890123456789 AS HUGEINT) * o_orderkey + 987654321987654321) % 2305843009213693951) % 32 AS BIGINT) AS machine FROM orders",
     "scaling_regression": """WITH p AS (SELECT o_custkey % 4 AS k, count(*) AS n, sum(o_totalprice) AS cost FROM orders GROUP BY o_custkey)
 SELECT CAST(k AS BIGINT) AS k, count(*) AS points, round(regr_slope(cost, n), 3) AS slope, round(regr_intercept(cost, n), 3) AS intercept, round(regr_r2(cost, n), 3) AS r2,

@@ -90,3 +90,23 @@ def test_regimes_and_reports(spark):
     assert {r["k"]: r["speedup"] for r in reports.speedups(runs).collect()} == {1: 1.0, 2: 2.0, 4: 5.0}
     moments = reports.running_moments(spark.createDataFrame([(1, 2), (2, 4)], "iC long, nC long")).orderBy("iC").collect()
     assert [(r["mean"], r["variance"]) for r in moments] == [(2.0, 0.0), (3.0, 1.0)]
+
+
+def test_experiments(spark):
+    from islet.plans import experiments
+
+    sweep = reports.sweep(spark, range(5, 6), 1).where("regime in ('1', 'L')")
+    rows = experiments.run(spark, sweep, ("stars", "merging"), (1, 3))
+    assert rows.count() == 2 * 2 * 2 * 2
+    assert rows.selectExpr("sampler", "regime", "n", "f", "cl", "round(cm, 9)", "cu", "round(cv, 9)").distinct().count() == 4
+    path = new_path(spark, "sweep")
+    experiments.write(rows, path)
+    back = experiments.rolled(spark, path, engine="merging", regime="L")
+    assert back.count() == 4 and {r["sampler"] for r in back.collect()} == {"exact", "monte_carlo"}
+
+
+def test_sampled_edges(spark):
+    e = spark.range(20000).selectExpr("id as u", "id + 1 as v")
+    a, b = edges.sampled(e, 0.3, 1), edges.sampled(e.repartition(5), 0.3, 1)
+    assert abs(a.count() - 6000) < 5 * 65 and a.exceptAll(b).isEmpty()
+    assert edges.sampled(e, 0.0, 1).isEmpty() and edges.sampled(e, 1.0, 1).count() == 20000
