@@ -35,7 +35,9 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     last = third.withColumn("_r", again)
     length = F.length("_t")
     counts = {
-        "n_words": F.size("_w"),
+        # the partition's number, times 0, keeps the optimizer from moving later filters below these
+        # columns, where it would write out each of them again for every use
+        "n_words": F.size("_w") + F.spark_partition_id() * 0,
         "word_chars": F.length(F.regexp_replace("_t", BLANK + "+", "")),
         "n_symbols": length - F.length(F.translate("_t", SYMBOLS, "")),
         "n_lines": F.size("_l"),
