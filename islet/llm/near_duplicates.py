@@ -283,14 +283,22 @@ def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "d
     Null, empty and blank texts are a class each. Null keys: a class of such rows alone has a null
     class_id. Repeated keys and equal rows are all returned. No rows: an empty table.
     """
-    columns = [F.col(f"`{c}`") for c in carry]
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("key"))
-    rows = stage(rows, "rows")
+    found = _classes(docs, tuple(carry), key, text, least)
+    return found.select("_row.*", "class_id", "class_size", "first")
+
+
+def _classes(docs: DataFrame, carry: tuple[str, ...], key: str, text: str, least: float) -> DataFrame:
+    """``_row`` (a struct of the columns ``carry``), class_id, class_size and first; see ``classes``."""
+    needed = list(dict.fromkeys((*carry, key, text)))  # a text is written once, however often it is named
+    whole = F.struct(*(F.col(f"`{c}`") for c in needed)).alias("_all")
+    staged = stage(docs.select(whole, F.monotonically_increasing_id().alias("key")), "rows")
+    field = F.col("_all").getField
+    rows = staged.select(F.struct(*(field(c).alias(c) for c in carry)).alias("_row"), field(key).cast("long").alias("id"), field(text).cast("string").alias("text"), "key")
     signed = stage(rows.select("key", "text").mapInArrow(_signed, "key long, bag binary, n long, bands array<bigint>"), "signatures")
     firsts = signed.where("bag is not null").groupBy("bag").agg(F.min("key").alias("rep"))
     members = stage(signed.select("key", "bag").join(firsts, "bag", "left").select("key", F.coalesce("rep", "key").alias("rep")), "members")
     own = members.where("key = rep").select("key")
-    bands = stage(signed.select("key", F.explode("bands").alias("band")).join(own, "key", "left_semi").select("band", "key"), "bands")
+    bands = stage(signed.join(own, "key", "left_semi").select(F.explode("bands").alias("band"), "key"), "bands")
     buckets = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     multiple = stage(bands.join(buckets, "band"), "multiple")
     drop(bands, signed)
@@ -298,12 +306,13 @@ def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "d
     pivots = multiple.join(central, "key").groupBy("band").agg(F.max(F.struct("score", (-F.col("key")).alias("k"))).alias("p"))
     shared = stage(multiple.select("band", "key").join(pivots.select("band", (-F.col("p.k")).alias("a")), "band"), "buckets")
     drop(multiple)
-    texts = rows.select("key", "text")
     ties = stage(shared.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "ties")
+    wanted = ties.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = stage(rows.select("key", "text").join(wanted, "key", "left_semi"), "candidates")  # other texts move no more
     links = _links(ties, texts, least, "links")
     tied = components.stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")), 0).select(F.col("u").alias("key"), F.col("v").alias("comp"))
     more = _links_across(shared, tied, texts, least)
-    drop(ties, shared)
+    drop(ties, shared, texts)
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     tied = components.stars(every, 0).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
     comps = members.join(tied, "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
@@ -312,10 +321,9 @@ def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "d
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     heads = light.groupBy("comp").agg(F.min(order).alias("head"), F.count("*").alias("class_size")).select("comp", F.col("head.id").alias("class_id"), F.col("head.key").alias("_head"), "class_size")
     named = light.select("key", "comp").join(heads, "comp").select("key", "class_id", "class_size", (F.col("key") == F.col("_head")).alias("first"))
-    return rows.select("_row", "key").join(named, "key").select("_row.*", "class_id", "class_size", "first")
+    return rows.select("_row", "key").join(named, "key").select("_row", "class_id", "class_size", "first")
 
 
 def keep(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row of each class of near-duplicates, that of the least doc_id, with its own columns."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    return classes(whole, ("_doc",), "_id", "_text", least).where("first").select("_doc.*")
+    return _classes(docs, tuple(docs.columns), "doc_id", "text", least).where("first").select("_row.*")
