@@ -89,10 +89,12 @@ class Weights:
 
     def posterior(self, rules: tuple[Rule, ...]) -> Column:
         """Probability that a text is good, from the columns of votes."""
-        odds = F.lit(math.log(self.good / (1 - self.good)))
+        prior, odds = math.log(self.good / (1 - self.good)), None
         for rule, a, b in zip(rules, self.on_good, self.on_bad, strict=True):
-            v = F.col(rule.name)
-            odds += F.when(v == 1, math.log(a / (1 - b))).when(v == 0, math.log((1 - a) / b)).otherwise(0.0)
+            # looked up by vote, so that all weights make the same generated code
+            by_vote = F.array(*(F.lit(prior + x) for x in (0.0, math.log((1 - a) / b), math.log(a / (1 - b)))))
+            part = F.element_at(by_vote, F.coalesce(F.col(rule.name), F.lit(-1)) + 2)
+            prior, odds = 0.0, part if odds is None else odds + part
         return 1 / (1 + F.exp(-odds))
 
 
