@@ -15,6 +15,7 @@ from islet.storage import stage
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+EXPONENTS = tuple(map(int, os.environ.get("BENCH_EXPONENTS", "17,20").split(",")))
 NAMES = ("cc_sizes", "cc_labels_giant", "cc_stats_part_supplier", "cc_stats_customer_order", "degree", "adjacency", "mwoe_phase1", "mwoe_labels", "spanning_forest", "bfs_levels", "machine_hash", "text_parse", "ecg_roundtrip")
 
 
@@ -49,15 +50,15 @@ def main() -> None:
     run(graph_queries.QUERIES["cc_sizes"](spark, os.path.join(os.path.dirname(SF_DIR.rstrip("/")), "sf0.001")))
     for name in NAMES:
         timed(name, lambda name=name: run(graph_queries.QUERIES[name](spark, SF_DIR)))
-    for regime, exponent in (("1", 17), ("L", 17), ("1", 20), ("L", 20)):
+    for exponent, regime in ((e, r) for e in EXPONENTS for r in ("1", "L")):
         n = 1 << exponent
         p, label = regime_probability(regime, n), f"er_{regime}_2e{exponent}"
         graph = timed(f"{label}_generate_exact", lambda n=n, p=p: stage(generators.exact(spark, n, p, 1), "bench"))
         timed(f"{label}_components", lambda g=graph: census.stats(census.sizes(components.labels(g))).first())
-        if exponent == 17:
+        if exponent <= 17:
             timed(f"{label}_merging", lambda g=graph: run(merging.merge(g).labels))
             timed(f"{label}_search", lambda g=graph: run(search.levels(g)))
-        if exponent == 20:
+        if exponent > 17:
             timed(f"{label}_generate_monte_carlo", lambda n=n, p=p: run(generators.monte_carlo(spark, n, p, 1)))
     spark.stop()
     shutil.rmtree(shared, ignore_errors=True)

@@ -9,11 +9,15 @@ spanning forest under the order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from islet.operators.components import LOCAL_EDGES
 from islet.operators.edges import oriented, vertices
 from islet.storage import drop, stage
 
@@ -46,8 +50,27 @@ def core_edges(least: DataFrame) -> DataFrame:
     return least.join(other, ["cu", "cv"]).where("lo = lo2 and cu < cv").select("lo", "hi", F.col("cu").alias("a"), F.col("cv").alias("b"))
 
 
-def _roots(least: DataFrame) -> DataFrame:
-    """``cu, root``: the new label of each component. Chains of hooks end at a core and are halved each step."""
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
+    if parts:
+        cu, lo, hi, cv = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(cu)
+        cu, lo, hi, cv = (x[order] for x in (cu, lo, hi, cv))
+        head = np.searchsorted(cu, cv)
+        core = (cv[head] == cu) & (lo[head] == lo) & (hi[head] == hi)
+        head = np.where(core, np.arange(len(cu)), head)
+        while not np.array_equal(up := head[head], head):
+            head = up
+        yield pa.RecordBatch.from_arrays([pa.array(cu), pa.array(lo[head])], ["cu", "root"])
+
+
+def _roots(least: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """``cu, root``: the new label of each component. Chains of hooks end at a core and are halved each step.
+
+    At most ``local`` components, counted first, are followed by one task.
+    """
+    if least.count() <= local:
+        return least.select("cu", "lo", "hi", "cv").coalesce(1).mapInArrow(_rooted, "cu long, root long")
     pointed = least.withColumn("_both", F.struct(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")))
     core = core_edges(least).select(F.explode(F.array("a", "b")).alias("cu"), F.col("lo").alias("root"), F.lit(True).alias("done"))
     start = pointed.join(core, "cu", "left").select("cu", F.when(F.col("done"), F.col("root")).otherwise(F.col("cv")).alias("to"), F.coalesce("done", F.lit(False)).alias("done"))
@@ -62,7 +85,7 @@ def _roots(least: DataFrame) -> DataFrame:
     return now.select("cu", F.col("to").alias("root"))
 
 
-def merge(edges: DataFrame) -> Merged:
+def merge(edges: DataFrame, local: int = LOCAL_EDGES) -> Merged:
     """Components of ``edges(u, v)`` with roots, forest and phases; ``comp`` is the least id of a component.
 
     Isolated vertices never enter the phases. Phases count one that finds nothing to merge at the
@@ -80,7 +103,7 @@ def merge(edges: DataFrame) -> Merged:
         if least.isEmpty():
             phases = phase if phase > 1 else 0
             break
-        roots = _roots(least)
+        roots = stage(_roots(least, local), "roots")
         forest = forest.unionByName(least.select(F.lit(phase).alias("phase"), "lo", "hi").distinct())
         to = roots.select(F.col("cu").alias("root"), F.col("root").alias("_new"))
         labels = stage(labels.join(to, "root", "left").select("id", F.coalesce("_new", "root").alias("root")), "labels")

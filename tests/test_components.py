@@ -42,6 +42,8 @@ def test_hand_made_graphs(spark, name):
     assert sorted(map(tuple, merged.labels.select("id", "comp").collect())) == sorted(map(tuple, labels.collect()))
     assert {r["comp"]: r["root"] for r in merged.labels.collect()} == roots
     assert merged.forest.count() == got["n"] - got["f"]
+    spread = merging.merge(e, 0)
+    assert spread.phases == phases and sorted(map(tuple, spread.labels.collect())) == sorted(map(tuple, merged.labels.collect()))
     tree = search.levels(e)
     assert search.rounds(tree).first()["r"] == rounds
     assert sorted(map(tuple, tree.select("id", "root").collect())) == sorted(map(tuple, labels.collect()))
