@@ -16,7 +16,8 @@ from islet.operators import components
 from islet.storage import drop, stage
 
 SHINGLE, LEAST = 5, 0.8
-#: Coordinates of a signature, and of a band. Two texts of similarity 0.8 share a band but for 5 in 10**8.
+#: Coordinates of a signature, and of a band. Two texts of similarity 0.8 share a band but for 5 in 10**8:
+#: texts are signed by multiplicity and, where shingles repeat, by their sets too.
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -122,11 +123,17 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, element, weight = shingles(part.column(1))
             many = len(part.column(1))
             keys = band_keys(dart_signatures(doc, element, weight, many))
+            # plain similarity: the sets alone; a text without repeats has the same bands either way
+            again = np.unique(doc[weight > 1])
+            some = np.isin(doc, again)
+            plain = keys.copy()
+            plain[again] = band_keys(dart_signatures(np.searchsorted(again, doc[some]), element[some], np.ones(int(some.sum()), np.int64), len(again)))
             ends = np.searchsorted(doc, np.arange(many + 1))
             pairs = np.stack([element, weight.astype(np.uint64)], axis=1)
             bags = [xxhash.xxh128_digest(pairs[a:b].tobytes()) if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
-            sizes = np.where(np.diff(ends) > 0, BANDS, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys[sizes > 0].ravel()))
+            both = np.concatenate([keys, plain], axis=1)
+            wanted = np.concatenate([np.ones(keys.shape, bool), plain != keys], axis=1) & (np.diff(ends) > 0)[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wanted.sum(axis=1))]).astype(np.int32)), pa.array(both[wanted]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bags, pa.binary()), pa.array(np.bincount(doc, weight, many).astype(np.int64)), lists], ["key", "bag", "n", "bands"])
 
 

@@ -71,6 +71,17 @@ def test_planted_copies(spark):
     assert nd.keep(table).count() == len(set(got.values()))
 
 
+def test_repeated_passages_are_found(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = {}
+    for g in range(20):  # alike by plain similarity alone
+        words = rng.choices(vocabulary, k=200)
+        texts[2 * g], texts[2 * g + 1] = " ".join(words), " ".join(words + words[100:] * 4)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["class_id"] for r in nd.classes(table).collect()} == {d: d - d % 2 for d in texts} == brute(texts)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(7)
     for _ in range(4):
