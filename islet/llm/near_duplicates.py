@@ -249,11 +249,10 @@ def _links_across(shared: DataFrame, tied: DataFrame, texts: DataFrame, least: f
     components come out, fewer than a block has members.
     """
     parted = shared.where("key <> a").join(tied, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
-    # half of the bands: of the few links that no pivot finds, 2 in 10**4 at similarity 0.8 share none of these
-    half = parted.where(F.pmod(F.xxhash64("band"), F.lit(2)) == 0)
-    mixed = half.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-    half = stage(half.join(mixed, "band", "left_semi"), "mixed-buckets")
-    some = texts.join(half.select("key").distinct(), "key", "left_semi")
+    # a bucket whose members lie in one component has no link to add
+    mixed = parted.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
+    kept = stage(parted.join(mixed, "band", "left_semi"), "mixed-buckets")
+    some = texts.join(kept.select("key").distinct(), "key", "left_semi")
     sets = stage(some.mapInArrow(_parted, "key long, elements array<bigint>, weights array<int>"), "sets")
     each = sets.select("key", F.explode(F.arrays_zip("elements", "weights")).alias("e")).select("key", "e.elements", "e.weights")
     alone = each.groupBy("elements").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("weights").alias("w")).where("n = 1")
@@ -262,7 +261,7 @@ def _links_across(shared: DataFrame, tied: DataFrame, texts: DataFrame, least: f
     shares = sets.withColumn("_n", F.size("elements")).withColumn("_w", total).join(alone, "key", "left").na.fill(0, ["u", "uw"])
     able = shares.where((F.col("_n") - F.col("u") >= least * F.col("_n")) | (F.col("_w") - F.col("uw") >= least * F.col("_w"))).select("key", "elements", "weights")
     able = stage(able, "able")
-    left = half.join(able.select("key"), "key", "left_semi")
+    left = kept.join(able.select("key"), "key", "left_semi")
     counts = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     put = left.join(counts.select("band", "blocks"), "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # a block meets every other block once, and itself where it is alone or first
@@ -270,7 +269,7 @@ def _links_across(shared: DataFrame, tied: DataFrame, texts: DataFrame, least: f
     sent = put.withColumn("p", F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)))
     sent = sent.select("band", "p.i", "p.j", "key", "comp", (F.col("own") == F.col("p.j")).cast("int").alias("side")).join(able, "key")
     links = stage(sent.groupBy("band", "i", "j").applyInArrow(_block_links(least), "a long, b long").distinct(), "more-links")
-    drop(half, sets, able)
+    drop(kept, sets, able)
     return links
 
 

@@ -134,6 +134,16 @@ def test_block_links_are_exact(spark, monkeypatch):
         assert {i: top(i) for i in range(60)} == brute(texts)
 
 
+def test_every_mixed_bucket_is_compared(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join([*words, f"x{i}"]) for i in range(2)}
+    bands = 24  # each holds a pair of its own that only this step can link
+    rows = [(b, 2 * b + i, -1, t + f" b{b}") for b in range(bands) for i, t in texts.items()]
+    table = spark.createDataFrame(rows, "band long, key long, a long, text string")
+    links = nd._links_across(table.select("band", "key", "a"), spark.createDataFrame([], "key long, comp long"), table.select("key", "text"), 0.8).collect()
+    assert {b for b in range(bands) if any(r["a"] // 2 == b and r["b"] // 2 == b for r in links)} == set(range(bands))
+
+
 def test_odd_rows(spark):
     rows = nd.classes(odd(spark)).collect()
     assert len(rows) == len(ODD)
