@@ -22,6 +22,27 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *(
+        (f"{short}-{version}", wording.format(name, number))
+        for short, name, versions in (("GPL", "General", "1.0 2.0 3.0"), ("LGPL", "Lesser General", "2.1 3.0"), ("AGPL", "Affero General", "3.0"))
+        for version in versions.split()
+        for number in [version.removesuffix(".0")]
+        for wording in (
+            "This work is licensed under the GNU {} Public License, version {}.",
+            "under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License",
+        )
+        if (short, version, wording[:4]) != ("GPL", "3.0", "This")
+    ),
+    *(
+        (f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}.")
+        for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+        for version in ("2.0", "2.5", "3.0", "4.0")
+        if (kind, version) != ("BY-NC", "4.0")
+    ),
 )
 _TERM = r"[\p{L}\p{N}]+"
 
@@ -65,13 +86,40 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
+def _windows(files: DataFrame, templates, s: Space, least: float) -> DataFrame:
+    """``key, line, own, run``: windows of template ``own``'s length that may reach it; ``line`` is the first word's number.
+
+    Rows are made from their own text alone. A window's cosine is at most the length of the
+    template's part on the terms that it holds (exact, Cauchy-Schwarz).
+    """
+    longest = max(len(terms(text)) for _, text in templates)
+    needed = F.array(*(F.lit(t) for t in s.needed))
+
+    def cut(words: Column) -> Column:
+        from_here = F.transform(words, lambda w, i: F.struct(i.alias("line"), w.alias("head"), F.when(w.isin(*s.idf), F.slice(words, i + 1, longest)).alias("run")))
+        return F.filter(from_here, lambda x: x["run"].isNotNull() & F.arrays_overlap(x["run"], needed))
+
+    # an array of one, so that the words are listed once
+    cuts = files.select("key", F.explode(F.flatten(F.transform(F.array(_words(F.col("text"))), cut))).alias("x")).select("key", "x.*")
+    heads = []
+    for k, (_, text) in enumerate(templates):
+        own = [(t, p * p) for j, _, t, p in s.vectors if j == k]
+        heads += [(k, t, len(terms(text)), own) for t, _ in own]
+    shapes = F.broadcast(files.sparkSession.createDataFrame(heads, "own int, head string, many int, parts array<struct<t: string, p: double>>"))
+    runs = cuts.join(shapes, "head").withColumn("run", F.slice("run", F.lit(1), F.col("many")))
+    bound = F.aggregate("parts", F.lit(0.0), lambda a, x: a + F.when(F.array_contains(F.col("run"), x["t"]), x["p"]).otherwise(0.0))
+    return runs.where(bound >= (least * 0.999) ** 2).select("key", "line", "own", "run")
+
+
 def passages(files: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataFrame:
-    """``key, license, score, words``: the best template of each file's lines, where it reaches ``least``.
+    """``key, license, score, words``: the best template of each file's passages, where it reaches ``least``.
 
     ``files(key, text)``. Document frequencies of all template terms are counted over all files;
     terms of no template share one weight, that of a term of one file. Each line of the whole text
-    is compared with each template; a line that can't reach ``least`` is seen by its terms and left
-    out before its vector is made. ``words``: words on lines that reach it.
+    is compared with each template, and each template with the windows of as many words, across
+    lines, that begin with a term of it. What can't reach ``least`` is seen by its terms and left out
+    before its vector is made. A passage without the first number of a template, its version, doesn't
+    state it. ``words``: words on lines that reach ``least``, or in windows that do if these are more.
     """
     spark = files.sparkSession
     every = sorted({t for _, text in templates for t in terms(text)})
@@ -81,17 +129,25 @@ def passages(files: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataF
     s = space(templates, counts, total, least)
     cue = r"(?<![\p{L}\p{N}])(?:" + "|".join(s.needed) + r")(?![\p{L}\p{N}])"
     lines = F.filter(F.split(F.lower("text"), "\n"), lambda x: x.rlike(cue))
-    some = files.where(F.lower("text").rlike(cue)).select("key", F.posexplode(lines).alias("line", "raw"))
-    word = some.select("key", "line", F.explode(_words(F.col("raw"))).alias("term")).groupBy("key", "line", "term").agg(F.count("*").alias("tf"))
-    vectors = F.broadcast(spark.createDataFrame(s.vectors, "template int, license string, term string, part double"))
+    cued = files.where(F.lower("text").rlike(cue))
+    some = cued.select("key", F.posexplode(lines).alias("line", "raw")).select("key", "line", F.lit(-1).alias("own"), _words(F.col("raw")).alias("run"))
+    some = some.unionByName(_windows(cued, templates, s, least))
+    word = some.select("key", "line", "own", F.explode("run").alias("term")).groupBy("key", "line", "own", "term").agg(F.count("*").alias("tf"))
+    version = [next((t for t in terms(text) if t.isdigit()), None) for _, text in templates]
+    marked = [(*v, int(v[2] == version[v[0]]), int(version[v[0]] is not None)) for v in s.vectors]
+    vectors = F.broadcast(spark.createDataFrame(marked, "template int, license string, term string, part double, is_version int, versions int"))
     weights = F.broadcast(spark.createDataFrame(sorted(s.idf.items()), "term string, idf double"))
     weighed = word.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(s.other)))
-    sizes = weighed.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum("tf").alias("words"))
-    dots = weighed.join(vectors, "term").groupBy("key", "line", "template", "license").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
-    scored = dots.join(sizes, ["key", "line"]).withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).where(F.col("score") >= least)
-    by_line = scored.groupBy("key", "line", "words").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("best"))
+    sizes = weighed.groupBy("key", "line", "own").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum("tf").alias("words"))
+    met = weighed.join(vectors, "term").where("own in (-1, template)").groupBy("key", "line", "own", "template", "license")
+    dots = met.agg(F.sum(F.col("w") * F.col("part")).alias("dot"), F.sum("is_version").alias("met"), F.max("versions").alias("versions")).where("met = versions")
+    scored = dots.join(sizes, ["key", "line", "own"]).withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).where(F.col("score") >= least)
+    by_line = scored.groupBy("key", "line", "own", "words").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("best"))
     best = F.max(F.struct(F.col("best.score").alias("score"), F.col("best.t").alias("t"), F.col("best.license").alias("license")))
-    return by_line.groupBy("key").agg(best.alias("best"), F.sum("words").alias("words")).select("key", "best.license", "best.score", "words")
+    on_lines = F.coalesce(F.sum(F.when(F.col("own") < 0, F.col("words"))), F.lit(0))
+    places = F.collect_list(F.when(F.col("own") >= 0, F.sequence(F.col("line"), (F.col("line") + F.col("words") - 1).cast("int"))))
+    in_windows = F.size(F.array_distinct(F.flatten(places)))
+    return by_line.groupBy("key").agg(best.alias("best"), F.greatest(on_lines, in_windows).alias("words")).select("key", "best.license", "best.score", "words")
 
 
 def directory(path: Column) -> Column:
@@ -102,9 +158,9 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6, file_share: float = 0.2) -> DataFrame:
     """Licence of every row of ``files(path, text, ...)``: its columns with license, score, origin, license_path.
 
-    ``origin``: ``own`` (a line of the file states it), ``inherited`` (the nearest directory above
+    ``origin``: ``own`` (a passage of the file states it), ``inherited`` (the nearest directory above
     the file, its own first, that holds a licence file) or ``none``. A licence file is one named
-    LICENSE, LICENCE, COPYING or NOTICE, or one of whose words a ``file_share`` is on such lines; of
+    LICENSE, LICENCE, COPYING or NOTICE, or one of whose words a ``file_share`` is in such passages; of
     several in a directory the best score counts, then the first path.
 
     Directories are looked up once each, not once a file: distinct directories meet licensed ones

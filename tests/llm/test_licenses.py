@@ -77,5 +77,24 @@ def test_needed_terms_lose_no_passage(least):
         assert rest < least
 
 
+def test_statements_inside_lines_and_across_them(spark):
+    mit = licenses.TEMPLATES[1][1]
+    prose = "Some words of prose that say nothing of it but go on for a while and then"
+    want = {
+        "Copyright 2020 Jane Roe. Released under the MIT License. All rights reserved.": "MIT",
+        f"{prose} licensed under the Apache License, Version 2.0. {prose}": "Apache-2.0",
+        f"{prose} {mit}, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge": "MIT",
+        prose + " " + mit.replace(" ", "\n", 12): "MIT",
+        "GNU General Public License, version 2": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under CC BY-NC 7.0.": None,
+        prose: None,
+    }
+    files = spark.createDataFrame([(None, text, None, i) for i, text in enumerate(want)], SCHEMA)
+    assert {r["text"]: r["license"] for r in licenses.scan(files).collect()} == want
+
+
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
