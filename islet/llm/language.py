@@ -117,13 +117,13 @@ def fit(docs: DataFrame, per_language: int = 500, languages: int = 64, longest_t
     count once.
     """
     usable = docs.where("lang is not null and length(text) between 1 and " + str(longest_text)).select("text", "lang", F.xxhash64("text").alias("h"))
-    counts = docs.where("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return None
     span = 1 << 30
     share = F.lit(0).cast("long")
-    for r in counts:  # twice the quota is expected below a language's bound
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(span, 4 * per_language * span // r["count"]))).otherwise(share)
+    for r in counts:  # several times the quota of different texts is expected below a language's bound
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(span, 4 * per_language * span // r["texts"]))).otherwise(share)
     few = usable.where(F.pmod(F.col("h"), F.lit(span)) < share).withColumn("k", F.pmod(F.col("h"), F.lit(span)))
     few = few.groupBy("lang", "k", "h").agg(F.min("text").alias("text")).orderBy("k", "h", "lang").limit(8 * per_language * len(counts))
     texts, labels, taken = [], [], Counter()

@@ -34,6 +34,12 @@ def test_kernel_is_the_cosine_of_gram_sets():
     assert m.predict(["the cat", "und der", None, "", "12 -- 3"])[0] == ["en", "de", "und", "und", "und"]
 
 
+def test_copies_leave_the_quota_to_other_texts(spark, monkeypatch):
+    rows = [("hot copy", "en")] * 20000 + [(f"text number {i}", "en") for i in range(30)]
+    monkeypatch.setattr(language, "train", lambda texts, labels: texts)
+    assert len(set(language.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=5))) == 5
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     model = language.fit(docs.select("text", "lang"))
