@@ -162,7 +162,7 @@ QUERIES = {
     "bfs_levels": lambda s, d: search.levels(graph(s, d, "order_part")).select("id", "root", "level"),
     "bfs_parent": lambda s, d: search.levels(graph(s, d, "order_part")).select("id", "parent"),
     "bfs_rounds": lambda s, d: search.rounds(search.levels(graph(s, d, "order_part"))),
-    "bfs_subtree": lambda s, d: search.subtrees(search.levels(graph(s, d, "customer_order"))).where("subtree > 1"),
+    "bfs_subtree": lambda s, d: search.subtrees(search.levels(graph(s, d, "customer_order"))),
     "cc_summary": lambda s, d: _rounded(census.summary(graph(s, d, "order_part_45")).select("n", "f", "cl", "cm", "cu", "cv")),
     "component_listing_file": _listing_file,
     "edges_sampled": lambda s, d: edges.sampled(graph(s, d, "part_supplier"), 0.25, 3),

@@ -42,3 +42,13 @@ def test_others_have_rows(spark, name):
 def test_known_statistics(spark):
     row = q.QUERIES["cc_stats_order_part"](spark, SF).first()
     assert (row["n"], row["f"], row["cl"], row["cu"], row["cm"], row["cv"]) == (380, 125, 2, 13, 3.04, 2.3904)
+
+
+def test_subtrees_of_leaves_are_listed(spark):
+    from islet.operators import edges
+    from islet.plans import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = queries.QUERIES["bfs_subtree"](spark, sf_dir).collect()
+    assert {r["id"] for r in rows} == {r["id"] for r in edges.vertices(queries.graph(spark, sf_dir, "customer_order")).collect()}
+    assert min(r["subtree"] for r in rows) == 1
