@@ -39,6 +39,8 @@ def levels(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
             break
         before, frontier = frontier, step
         done.append(step)
+    else:
+        raise RuntimeError(f"the search did not end within {MOST_LEVELS} levels")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

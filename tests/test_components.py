@@ -95,6 +95,12 @@ def test_search_from_chosen_roots(spark):
     assert search.subtrees(tree.limit(0)).count() == 0
 
 
+def test_search_says_when_it_is_too_deep(spark, monkeypatch):
+    monkeypatch.setattr(search, "MOST_LEVELS", 3)
+    with pytest.raises(RuntimeError):
+        search.levels(table(spark, PATH), spark.createDataFrame([(1,)], "id long"))
+
+
 def test_edge_algebra(spark):
     e = table(spark, [(1, 2), (2, 1), (2, 3), (5, 5), (2, 2)])
     assert sorted(map(tuple, edges.symmetrized(e).collect())) == [(1, 2), (2, 1), (2, 3), (3, 2)]
