@@ -125,9 +125,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(dart_signatures(doc, element, weight, many))
             # plain similarity: the sets alone; a text without repeats has the same bands either way
             again = np.unique(doc[weight > 1])
-            some = np.isin(doc, again)
             plain = keys.copy()
-            plain[again] = band_keys(dart_signatures(np.searchsorted(again, doc[some]), element[some], np.ones(int(some.sum()), np.int64), len(again)))
+            if len(again):
+                some = np.isin(doc, again)
+                plain[again] = band_keys(dart_signatures(np.searchsorted(again, doc[some]), element[some], np.ones(int(some.sum()), np.int64), len(again)))
             ends = np.searchsorted(doc, np.arange(many + 1))
             pairs = np.stack([element, weight.astype(np.uint64)], axis=1)
             bags = [xxhash.xxh128_digest(pairs[a:b].tobytes()) if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
