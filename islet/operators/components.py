@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from islet.operators.edges import oriented, vertices
@@ -38,9 +38,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written, with their number and hash sum, taken as they are written."""
+    seen = Observation()
+    table = stage(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "stars")
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,16 +75,16 @@ def stars(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     edges stay as they are (count and hash sum), or when they number ``local_edges`` at most, which
     one task finishes: a round costs a small graph more than all of its work.
     """
-    now = stage(oriented(edges).select(F.col("v").cast("long").alias("u"), F.col("u").cast("long").alias("v")), "stars")
-    state = _state(now)
+    now, state = _settled(oriented(edges).select(F.col("v").cast("long").alias("u"), F.col("u").cast("long").alias("v")))
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             return now
         if state[0] <= local_edges:
             return now.coalesce(1).mapInArrow(_finished, "u long, v long")
-        new = stage(_small_star(_large_star(now)), "stars")
+        last = state
+        new, state = _settled(_small_star(_large_star(now)))
         drop(now)
-        now, last, state = new, state, _state(new)
+        now = new
         if state == last:
             return now
     raise RuntimeError("components did not settle")

@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a staged table that a task holds before it writes them.
+ROW_GROUP = str(16 << 20)
+
 _own: dict[str, str] = {}
 _staged: dict[str, dict] = {}
 
@@ -48,7 +51,7 @@ def stage(df: DataFrame, name: str, compression: str = "zstd", **options: str) -
     spark = df.sparkSession
     sweep(spark)
     path = new_path(spark, name)
-    df.write.options(compression=compression, **options).parquet(path)
+    df.write.options(**{"compression": compression, "parquet.block.size": ROW_GROUP, **options}).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     index = table._jdf.queryExecution().analyzed().relation().location()
     _staged.setdefault(spark.sparkContext.applicationId, {})[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(index)
