@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from islet.storage import drop, stage
+from islet.storage import stage
 
 #: White space between words, and the characters that count as symbols. Fixed values of the result's definition.
 BLANK, SYMBOLS = r"[\x20\x09-\x0D]", "#*$%&|<>"
@@ -35,9 +35,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     last = third.withColumn("_r", again)
     length = F.length("_t")
     counts = {
-        # the partition's number, times 0, keeps the optimizer from moving later filters below these
-        # columns, where it would write out each of them again for every use
-        "n_words": F.size("_w") + F.spark_partition_id() * 0,
+        "n_words": F.size("_w"),
         "word_chars": F.length(F.regexp_replace("_t", BLANK + "+", "")),
         "n_symbols": length - F.length(F.translate("_t", SYMBOLS, "")),
         "n_lines": F.size("_l"),
@@ -87,80 +85,104 @@ class Weights:
     on_good: tuple[float, ...]
     on_bad: tuple[float, ...]
 
+    def steps(self) -> list[tuple[float, float]]:
+        """What a vote of each rule adds to the log odds of a good text: (against, for)."""
+        return [(math.log((1 - a) / b), math.log(a / (1 - b))) for a, b in zip(self.on_good, self.on_bad, strict=True)]
+
     def posterior(self, rules: tuple[Rule, ...]) -> Column:
         """Probability that a text is good, from the columns of votes."""
-        prior, odds = math.log(self.good / (1 - self.good)), None
-        for rule, a, b in zip(rules, self.on_good, self.on_bad, strict=True):
+        odds = F.lit(math.log(self.good / (1 - self.good)))
+        for rule, (against, for_) in zip(rules, self.steps(), strict=True):
             # looked up by vote, so that all weights make the same generated code
-            by_vote = F.array(*(F.lit(prior + x) for x in (0.0, math.log((1 - a) / b), math.log(a / (1 - b)))))
-            part = F.element_at(by_vote, F.coalesce(F.col(rule.name), F.lit(-1)) + 2)
-            prior, odds = 0.0, part if odds is None else odds + part
+            odds = odds + F.element_at(F.array(F.lit(0.0), F.lit(against), F.lit(for_)), F.coalesce(F.col(rule.name), F.lit(-1)) + 2)
         return 1 / (1 + F.exp(-odds))
 
+    def log_odds(self, votes: tuple[int | None, ...]) -> float:
+        """The same on one pattern of votes, as log odds."""
+        return math.log(self.good / (1 - self.good)) + sum(step[v] for v, step in zip(votes, self.steps(), strict=True) if v is not None)
+
+
+#: Vote patterns that the driver may hold: those of eight rules.
+MOST_PATTERNS = 3**8
+#: A rule is never trusted beyond this rate of errors, nor taken for worse than chance on good texts.
+LEAST_ERROR, CHANCE = 1e-4, 0.5
+
 
-def fit(patterns: DataFrame, rules: tuple[Rule, ...], false_alarms: float = 0.01, rounds: int = 60, close: float = 1e-6) -> Weights:
-    """Expectation-maximisation over counted vote patterns (a row each, three to the number of rules at most).
+def estimated(patterns: list[tuple[tuple[int | None, ...], int]], rules: int, close: float = 1e-9) -> Weights:
+    """Expectation-maximisation over counted vote patterns, until a round adds less than ``close`` to the mean log likelihood.
 
-    A round is one aggregation; only its sums come back. Pseudo-counts keep every estimate inside
-    (0, 1). Bad texts differ in kind, and two classes alone would count a kind that few rules see
-    among the good ones; so a rule's wrong votes on good texts are held to ``false_alarms`` of its
-    votes there, and texts beyond that must be explained as bad.
+    Both accuracies of every rule and the share of good texts are estimated, with a few
+    pseudo-counts. To tell the classes apart, no rule is worse than chance on good texts, and a vote
+    for good is more frequent on good texts than on bad ones. Each round adds to a sum that is
+    bounded, so the rounds end.
     """
-    least = 1 - false_alarms
-    now = Weights(0.85, (least,) * len(rules), (0.4,) * len(rules))
-    for _ in range(rounds):
-        p = now.posterior(rules)
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum("n").alias("n")]
-        for r in rules:
-            v = F.col(r.name)
-            sums += [F.sum(F.col("n") * p * v), F.sum(F.col("n") * p * (1 - v)), F.sum(F.col("n") * (1 - p) * (1 - v)), F.sum(F.col("n") * (1 - p) * v)]
-        row = [float(x or 0) for x in patterns.agg(*sums).first()]
-        good, n, rest = row[0], row[1], row[2:]
-        on_good, on_bad = [], []
-        for right, wrong, caught, missed in zip(*(rest[i::4] for i in range(4)), strict=True):
-            a, b = (right + 9.5) / (right + wrong + 10), (caught + 1) / (caught + missed + 2)
-            a = min(max(a, least), 0.9999)
-            on_good.append(a), on_bad.append(min(max(b, 1 - a), 0.9999))
-        new = Weights((good + 8.5) / (n + 10), tuple(on_good), tuple(on_bad))
-        moved = max(abs(x - y) for x, y in zip((now.good, *now.on_good, *now.on_bad), (new.good, *new.on_good, *new.on_bad), strict=True))
-        now = new
-        if moved < close:
-            break
-    return now
+    now, last, total = Weights(0.85, (0.99,) * rules, (0.4,) * rules), -math.inf, sum(n for _, n in patterns)
+    while True:
+        good, fit, sums = 0.0, 0.0, [[0.0] * 4 for _ in range(rules)]
+        rare = math.log(1 - now.good)
+        by_rule = [(math.log(b), math.log(1 - b)) for b in now.on_bad]
+        for votes, n in patterns:
+            odds = now.log_odds(votes)
+            p = 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
+            # likelihood: that under bad texts, times 1 + odds
+            fit += n * (rare + sum(by_rule[i][v] for i, v in enumerate(votes) if v is not None) + max(odds, 0.0) + math.log1p(math.exp(-abs(odds))))
+            good += n * p
+            for own, v in zip(sums, votes, strict=True):
+                if v is not None:
+                    own[v] += n * p
+                    own[2 + v] += n * (1 - p)
+        if fit - last <= close * max(total, 1):
+            return now
+        on_good = [min(max((right + 9.5) / (right + wrong + 10), CHANCE), 1 - LEAST_ERROR) for wrong, right, _, _ in sums]
+        on_bad = [min(max((caught + 1) / (caught + missed + 2), 1 - a), 1 - LEAST_ERROR) for a, (_, _, caught, missed) in zip(on_good, sums, strict=True)]
+        now, last = Weights((good + 8.5) / (total + 10), tuple(on_good), tuple(on_bad)), fit
+
+
+def fit(patterns: DataFrame, rules: tuple[Rule, ...]) -> Weights:
+    """Weights from the table of vote patterns and their counts ``n``: three to the number of rules at most, which is checked."""
+    if 3 ** len(rules) > MOST_PATTERNS:
+        raise ValueError("too many rules for one table of vote patterns")
+    rows = patterns.select(*(r.name for r in rules), "n").collect()
+    return estimated(sorted(((tuple(r)[:-1], r["n"]) for r in rows), key=str), len(rules))
 
 
 def votes(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``f`` and a column of votes for each rule."""
-    return features(docs, text).withColumns({r.name: r.vote() for r in rules})
+    """``docs`` with ``f``, a column of votes for each rule, and ``base_failed``."""
+    failed = (F.col("f.n_words") < 50) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
+    return features(docs, text).withColumns({r.name: r.vote() for r in rules} | {"base_failed": failed})
 
 
 def weigh(voted: DataFrame, rules: tuple[Rule, ...] = RULES) -> Weights:
     """Weights of the rules from the vote patterns of all rows."""
-    patterns = stage(voted.groupBy(*(r.name for r in rules)).agg(F.count("*").alias("n")).coalesce(1), "votes")
-    weights = fit(patterns, rules)
-    drop(patterns)
-    return weights
+    return fit(voted.groupBy(*(r.name for r in rules)).agg(F.count("*").alias("n")), rules)
 
 
 def judge(voted: DataFrame, weights: Weights, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """``voted`` with ``posterior``, ``base_failed`` and ``kept``."""
-    failed = (F.col("f.n_words") < 50) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
-    scored = voted.withColumns({"posterior": weights.posterior(rules), "base_failed": failed})
+    """``voted`` with ``posterior`` and ``kept``."""
+    scored = voted.withColumn("posterior", weights.posterior(rules))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
+def _free(docs: DataFrame, added: list[str]) -> None:
+    clash = {c.lower() for c in docs.columns} & {c.lower() for c in added}
+    if clash:
+        raise ValueError(f"columns are named like added ones: {sorted(clash)}")
+
+
 def score(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the text, with ``f`` (counts), a vote column per rule, ``posterior``, ``base_failed`` and ``kept``.
+    """``docs`` without the text, with ``f`` (counts), a vote column per rule, ``base_failed``, ``posterior`` and ``kept``.
 
     The counts are written once; vote patterns are counted from them, the rules are weighed on the
     pattern counts of all documents, and each row's posterior follows from its votes.
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated windows.
     ``kept``: not ``base_failed`` and a posterior of at least ``threshold``.
 
-    Null or empty text has no words: every rule abstains and the base fails it. Rows stand for
-    themselves, so ties, null or repeated ids change nothing. No rows: an empty table. Columns of
-    ``docs`` must not be named like the added ones (``keep`` takes any).
+    Null or empty text has no words: every rule abstains and the base fails it. A very long text is
+    counted whole, in its row. Rows stand for themselves, so ties, null or repeated ids change
+    nothing. No rows: an empty table. ValueError if a column of ``docs`` is named like an added one
+    (``keep`` takes any).
     """
+    _free(docs, ["f", "base_failed", "posterior", "kept", *(r.name for r in rules)])
     voted = stage(votes(docs, text, rules).drop(text), "quality")
     return judge(voted, weigh(voted, rules), rules, threshold)
 
@@ -168,8 +190,9 @@ def score(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 def keep(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``score`` would keep, with their own columns whatever the names.
 
-    Texts are counted twice, once to weigh the rules and once to judge, so that none is written.
+    Null, empty and very long texts, ties, repeated rows and empty tables: as in ``score``. Rows are
+    written once with their votes, so that each text is counted once.
     """
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    voted = votes(whole, "_text")
+    voted = stage(votes(whole, "_text").drop("_text", "f"), "voted")
     return judge(voted, weigh(voted), threshold=threshold).where("kept").select("_row.*")

@@ -64,7 +64,46 @@ def test_fit_recovers_accuracies(spark):
         good = rng.random() < 0.8
         rows.append(tuple(None if rng.random() < 0.2 else int(good == (rng.random() < true[n][0 if good else 1])) for n in names))
     table = spark.createDataFrame(rows, "a int, b int, c int, d int").groupBy(*names).count().withColumnRenamed("count", "n").cache()
-    w = q.fit(table, rules, false_alarms=0.2)
+    w = q.fit(table, rules)
     assert abs(w.good - 0.8) < 0.05
     for n, a, b in zip(names, w.on_good, w.on_bad):
         assert abs(a - true[n][0]) < 0.06 and abs(b - true[n][1]) < 0.12
+
+
+def test_estimates_match_a_plain_computation(spark):
+    """The verdicts of op2 against expectation-maximisation over single texts, written out with numpy."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    scored = {r["doc_id"]: r for r in q.score(docs).collect()}
+    votes = np.array([[-1 if r[x.name] is None else r[x.name] for x in q.RULES] for r in scored.values()])
+    good, on_good, on_bad = 0.85, np.full(len(q.RULES), 0.99), np.full(len(q.RULES), 0.4)
+
+    def posterior():
+        like_good = np.where(votes == 1, on_good, np.where(votes == 0, 1 - on_good, 1)).prod(axis=1) * good
+        like_bad = np.where(votes == 0, on_bad, np.where(votes == 1, 1 - on_bad, 1)).prod(axis=1) * (1 - good)
+        return like_good / (like_good + like_bad)
+
+    for _ in range(3000):
+        p = posterior()
+        share = [[(w * (votes == v).T).sum(axis=1) for v in (1, 0)] for w in (p, 1 - p)]
+        on_good = np.clip((share[0][0] + 9.5) / (share[0][0] + share[0][1] + 10), 0.5, 0.9999)
+        on_bad = np.clip((share[1][1] + 1) / (share[1][0] + share[1][1] + 2), 1 - on_good, 0.9999)
+        good = (p.sum() + 8.5) / (len(p) + 10)
+    for p, r in zip(posterior(), scored.values(), strict=True):
+        assert abs(p - r["posterior"]) < 1e-3
+        assert r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+
+
+def test_a_rare_kind_of_junk_goes(spark):
+    """Rules are weighed alike however few texts each kind of junk has."""
+    good, noisy, doubled = (1,) * 8, (0, 0, 1, 1, 1, 1, 1, 1), (1, 1, 0, 0, 1, 1, 1, 1)
+    w = q.estimated([(good, 100_000), (noisy, 2000), (doubled, 300), ((1, 1, 1, None, 1, 1, 1, 1), 3000)], 8)
+    assert w.log_odds(good) > 5 and w.log_odds(noisy) < 0 and w.log_odds(doubled) < 0
+
+
+def test_clashing_names(spark):
+    docs = odd(spark).withColumnRenamed("size", "repeats")
+    with pytest.raises(ValueError, match="'f'"):
+        q.score(docs)
+    assert q.keep(docs).columns == docs.columns
