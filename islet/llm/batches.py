@@ -11,9 +11,9 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``most`` bytes of ``column`` each; a longer value stands alone."""
-    text = batch.column(batch.schema.get_field_index(column))
+def text_slices(batch: pa.RecordBatch, column: str | pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``most`` bytes of ``column`` (a name, or texts as long as the batch) each; a longer value stands alone."""
+    text = batch.column(batch.schema.get_field_index(column)) if isinstance(column, str) else column
     if isinstance(text, pa.StringViewArray) or not len(text):
         if len(text):
             yield batch
