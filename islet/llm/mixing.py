@@ -8,11 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from islet.storage import stage
+from islet.storage import drop, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts into which the documents of one source and size are dealt before they are ranked.
-PARTS = 64
+#: Sources that the driver holds a row of, and rounds of Newton's method; beyond either, ``mix`` raises.
+MOST_SOURCES, MOST_ROUNDS = 100_000, 400
+#: Places of the order in which documents take their spare copy, and the part of it that one look settles, in bits.
+PLACE_BITS, LOOK_BITS = 44, 11
 
 
 def word_count(text: str = "text") -> Column:
@@ -34,33 +36,39 @@ def targets(sizes: Sequence[float], weights: Sequence[float], most: float = 3.0)
     return out
 
 
-def _balance(bins: DataFrame, sources: list, goal: list[float], most: float, rounds: int = 60, close: float = 1e-9) -> list[float]:
+def _rate(most: float) -> Column:
+    """Copies that a document of ``size`` words is due: tilted by its size, ``most`` at most."""
+    return F.round(F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), F.col("tilt") * F.col("size")))), 12)
+
+
+def _balance(bins: DataFrame, sources: list, goal: list[float], most: float, close: float = 1e-9) -> list[float]:
     """The dual's multiplier of each source: Newton steps, each one aggregation over the bins.
 
     The primal is the least relative entropy of document rates to 1 under one token constraint a
     source and rates of at most ``most``; rates are then min(most, exp(multiplier * size / mean)).
-    A bracket around each root keeps every step inside it.
+    A bracket around each root keeps every step inside it; a step that doesn't halve it in three
+    rounds is replaced by its middle, so the rounds end.
     """
     spark, mean = bins.sparkSession, [s["words"] / s["docs"] if s["words"] else 1.0 for s in sources]
     low = [-700.0 * m for m in mean]
     high = [math.log(most) * m / s["least"] if s["words"] else 0.0 for m, s in zip(mean, sources, strict=True)]
-    at = [0.0] * len(sources)
+    at, wide = [0.0] * len(sources), [math.inf] * len(sources)
     active = {i for i, s in enumerate(sources) if s["words"]}
     for i in list(active):
         if goal[i] >= most * sources[i]["words"] * (1 - 1e-12):  # the target at the bound: every rate is at the bound
             at[i] = high[i]
             active.discard(i)
-    for _ in range(rounds):
+    for round_ in range(MOST_ROUNDS):
         if not active:
-            break
+            return [a / m for a, m in zip(at, mean, strict=True)]
         state = spark.createDataFrame([(i, at[i] / mean[i]) for i in sorted(active)], "sid long, tilt double")
         rate = F.least(F.lit(most), F.exp(F.least(F.lit(50.0), F.col("tilt") * F.col("size"))))
         slope = F.when(rate < most, rate * F.col("size")).otherwise(0.0)
-        sums = bins.join(state, "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * rate).alias("g"), F.sum(F.col("n") * F.col("size") * slope).alias("h"))
+        sums = bins.join(F.broadcast(state), "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * rate).alias("g"), F.sum(F.col("n") * F.col("size") * slope).alias("h"))
         for row in sums.collect():
             i = row["sid"]
             miss = row["g"] - goal[i]
-            if abs(miss) <= close * max(goal[i], 1.0):
+            if abs(miss) <= close * max(goal[i], 1.0) or high[i] - low[i] <= 1e-15 * max(abs(high[i]), abs(low[i])):
                 active.discard(i)
                 continue
             if miss > 0:
@@ -68,60 +76,108 @@ def _balance(bins: DataFrame, sources: list, goal: list[float], most: float, rou
             else:
                 low[i] = at[i]
             step = at[i] - miss * mean[i] / row["h"] if row["h"] > 0 else math.inf
-            at[i] = step if low[i] < step < high[i] else (low[i] + high[i]) / 2
-    return [a / m for a, m in zip(at, mean, strict=True)]
+            slow = round_ % 3 == 2 and high[i] - low[i] > wide[i] / 2
+            if round_ % 3 == 2:
+                wide[i] = high[i] - low[i]
+            at[i] = step if low[i] < step < high[i] and not slow else (low[i] + high[i]) / 2
+    raise RuntimeError("the multipliers did not settle")
+
+
+def _rounded(most: float) -> dict[str, Column]:
+    """``whole`` copies of a document, and its ``place`` among those that take one more (null: it can't)."""
+    rate = _rate(most)
+    whole = F.floor(rate)
+    even = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
+    place = F.floor((even - (rate - whole) + 1) * float(1 << (PLACE_BITS - 1))).cast("long")
+    return {"rate": rate, "whole": whole, "place": F.when((F.col("size") > 0) & (whole + 1 <= most), place)}
+
+
+def _limits(light: DataFrame, names: DataFrame, most: float) -> DataFrame:
+    """``names`` with ``limit``: documents of a source whose place is below it take one more copy.
+
+    Places run from documents whose rate lacks little to the next whole number to those that lack
+    much, in a hashed order, so every document keeps its rate on average. The words of a source come
+    nearest to its target where the running sum over places crosses it. That place is found digit
+    by digit: each look sums the words of all documents at the digits found so far by the next one,
+    at most 2048 rows a source, so no documents are sorted.
+    """
+    spark = light.sparkSession
+    placed = light.withColumnRenamed("_source", "_of").join(F.broadcast(names), F.col("_of").eqNullSafe(F.col("_source"))).withColumns(_rounded(most))
+    placed = stage(placed.select("sid", "size", "whole", "place", "target"), "places")
+    gaps = placed.groupBy("sid").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("gap"), F.sum(F.when(F.col("place").isNotNull(), F.col("size"))).alias("spare"))
+    state = {r["sid"]: (0, r["gap"]) for r in gaps.collect() if r["spare"] and r["gap"] > 0}  # digits found, words still to add
+    limits = {r: 0 for r in state}
+    for bits in range(PLACE_BITS - LOOK_BITS, -1, -LOOK_BITS):
+        if not state:
+            break
+        found = spark.createDataFrame([(i, at, float(gap)) for i, (at, gap) in sorted(state.items())], "sid long, at long, gap double")
+        digit = F.shiftright("place", bits)
+        inside = placed.where("place is not null").join(F.broadcast(found), "sid").where(F.shiftright(digit, LOOK_BITS) == F.col("at"))
+        sums = inside.groupBy("sid", digit.alias("digit")).agg(F.sum("size").alias("words"), F.max("gap").alias("gap"))
+        upto = F.sum("words").over(Window.partitionBy("sid").orderBy("digit"))
+        crossed = sums.withColumn("upto", upto).where(F.col("upto") >= F.col("gap")).groupBy("sid").agg(F.min(F.struct("digit", "upto", "words", "gap")).alias("x")).select("sid", "x.*")
+        rows = {r["sid"]: r for r in crossed.collect()}
+        for i in list(state):
+            if i not in rows:  # all of them are wanted: only at the first look
+                limits[i] = 1 << PLACE_BITS
+                del state[i]
+                continue
+            r = rows[i]
+            left = r["gap"] - (r["upto"] - r["words"])
+            if bits:
+                state[i] = (r["digit"], left)
+            else:  # the last place: with it or without, whatever comes nearer
+                limits[i] = r["digit"] + (r["upto"] - r["gap"] <= left)
+    drop(placed)
+    return names.join(F.broadcast(spark.createDataFrame(sorted(limits.items()), "sid long, limit long")), "sid", "left").na.fill(0, ["limit"])
 
 
 def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), weights: Sequence[float] = (5, 2, 1), most: float = 3.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The columns ``carry`` of every document with size, source_size, target, rate, copies and taken.
 
     ``size``: words of the whole text. Sources in code-point order, null last as a source of its
-    own, weigh ``weights`` in turn; ``target``: see ``targets``. Rates come from ``_balance``.
-    Documents of a source and size share a rate, so copies are rounded by bins: a running sum over
-    the source's sizes leaves each source off its target by about one of its largest documents, and
-    inside a bin the documents of least hash take the spare copies. Ranks are counted in ``PARTS``
-    parts by hash, so a bin with a third of all rows is spread out. ``taken`` = copies * size, and
-    copies never exceed ``most``. Reruns agree, whatever the partitioning.
+    own, weigh ``weights`` in turn; ``target``: see ``targets``. Rates come from ``_balance``; a
+    document has as many copies as the whole number in its rate, and one more if ``_limits`` says
+    so, which brings each source's words to its target within half of the document at the limit.
+    ``taken`` = copies * size, and copies never exceed ``most``. Reruns agree, whatever the
+    partitioning. ``docs`` is read twice and never moved: only sizes and hashes are written, only
+    sums by source and size are shuffled.
 
     Null and empty texts have size 0 and one copy, which takes nothing. Rows of one doc_id are told
-    apart by their text; equal rows may differ in copies, the result as a bag is the same. One row
-    a source goes to the driver: sources are expected to be far fewer than documents. No rows: an
-    empty table.
+    apart by their text; equal rows have equal copies. Very long texts are counted whole. The driver
+    holds a row a source and raises beyond ``MOST_SOURCES``. No rows: an empty table. ValueError if
+    ``carry`` has a name of the added columns.
     """
+    clash = {c.lower() for c in carry} & {"size", "source_size", "target", "rate", "copies", "taken"}
+    if clash:
+        raise ValueError(f"carried columns are named like added ones: {sorted(clash)}")
     spark = docs.sparkSession
     keys = F.xxhash64(F.lit("mix"), F.col(f"`{key}`"), F.col(f"`{text}`"))
-    made = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"), F.col(f"`{source}`").cast("string").alias("_source"), word_count(f"`{text}`").alias("size"), keys.alias("_hash"))
-    made = made.withColumns({"_part": F.pmod(F.shiftrightunsigned("_hash", 8), F.lit(PARTS)).cast("int"), "_key": F.monotonically_increasing_id()})
-    rows = stage(made, "sizes")
-    made = rows.drop("_row")
-    parts = stage(made.groupBy("_source", "size", "_part").agg(F.count("*").alias("m")), "bins")
-    sources = parts.groupBy("_source").agg(F.sum(F.col("size") * F.col("m")).alias("words"), F.sum("m").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).collect()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_row"), F.col(f"`{source}`").cast("string").alias("_of"), word_count(f"`{text}`").alias("size"), keys.alias("_hash"))
+    light = stage(rows.select(F.col("_of").alias("_source"), "size", "_hash"), "sizes")
+    counted = stage(light.groupBy("_source", "size").agg(F.count("*").alias("n")), "bins")
+    sources = counted.groupBy("_source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")).limit(MOST_SOURCES + 1).collect()
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     sources.sort(key=lambda s: (s["_source"] is None, (s["_source"] or "").encode()))
     goal = targets([s["words"] for s in sources], [weights[i % len(weights)] for i in range(len(sources))], most)
-    names = spark.createDataFrame([(i, s["_source"], s["words"], g) for i, (s, g) in enumerate(zip(sources, goal, strict=True))], "sid long, _source string, source_size long, target double")
-    bins = parts.groupBy("_source", "size").agg(F.sum("m").alias("n")).withColumnRenamed("_source", "_of").join(names, F.col("_of").eqNullSafe(F.col("_source"))).drop("_of", "_source")
-    bins = stage(bins, "source-bins")
-    tilts = spark.createDataFrame(list(enumerate(_balance(bins, sources, goal, most))), "sid long, tilt double")
-    # copies of a bin: the running sum of rates over the source's sizes, rounded
-    rate = F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), F.col("tilt") * F.col("size"))))
-    order = Window.partitionBy("sid").orderBy("size")
-    rated = bins.join(tilts, "sid").withColumn("rate", rate).withColumn("end", F.round(F.sum(F.col("n") * F.col("rate")).over(order), 6))
-    rated = rated.withColumn("copies", (F.floor(F.col("end") + 0.5) - F.floor(F.lag("end", 1, 0.0).over(order) + 0.5)).cast("long"))
-    rated = rated.withColumns({"each": F.expr("copies div n"), "spare": F.expr("copies % n")}).join(names.select("sid", F.col("_source").alias("_of")), "sid").drop("sid", "copies")
-    same = (parts["_source"].eqNullSafe(F.col("_of"))) & (parts["size"] == F.col("_size"))
-    ahead = F.sum("m").over(Window.partitionBy("_source", "size").orderBy("_part")) - F.col("m")
-    shares = parts.join(rated.withColumnRenamed("size", "_size"), same).drop("_of", "_size").withColumn("spare", F.col("spare") - ahead)
-    shares = shares.select(*(F.col(c).alias(f"{c}_") for c in ("_source", "size", "_part")), "source_size", "target", "rate", "each", "spare")
-    mine = (made["_source"].eqNullSafe(F.col("_source_"))) & (made["size"] == F.col("size_")) & (made["_part"] == F.col("_part_"))
-    ranked = made.join(shares, mine).withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "size", "_part").orderBy("_hash")))
-    copies = F.col("each") + (F.col("_rank") <= F.col("spare")).cast("long")
-    # ranks are found without the carried columns, which then move once
-    light = ranked.select("_key", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-    return rows.select("_row", "_key").join(light, "_key").select("_row.*", "size", "source_size", "target", "rate", "copies", "taken")
+    ids = spark.createDataFrame([(i, s["_source"]) for i, s in enumerate(sources)], "sid long, _source string")
+    bins = stage(counted.withColumnRenamed("_source", "_of").join(F.broadcast(ids), F.col("_of").eqNullSafe(F.col("_source"))).select("sid", "size", "n"), "source-bins")
+    tilts = [float(f"{t:.13g}") for t in _balance(bins, sources, goal, most)]
+    drop(counted, bins)
+    names = spark.createDataFrame([(i, s["_source"], s["words"], g, t) for i, (s, g, t) in enumerate(zip(sources, goal, tilts, strict=True))], "sid long, _source string, source_size long, target double, tilt double")
+    limits = _limits(light, names, most)
+    drop(light)
+    out = rows.join(F.broadcast(limits), F.col("_of").eqNullSafe(F.col("_source"))).withColumns(_rounded(most))
+    copies = F.col("whole") + F.coalesce(F.col("place") < F.col("limit"), F.lit(False)).cast("long")
+    return out.withColumn("copies", copies).select("_row.*", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``mix`` takes, each as often as it has copies, with their own columns."""
+    """The documents that ``mix`` takes, each as often as it has copies, with their own columns, whatever their names.
+
+    Nulls, ties, repeated rows, long texts and empty tables: as in ``mix``.
+    """
     columns = docs.columns
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), *(F.col(f"`{options.get(k, k)}`").alias(f"_{k}") for k in ("text", "source")), F.col(f"`{options.get('key', 'doc_id')}`").alias("_key"))
     options = {k: v for k, v in options.items() if k in ("weights", "most")}
