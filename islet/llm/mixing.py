@@ -12,7 +12,7 @@ from islet.storage import drop, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources that the driver holds a row of, and rounds of Newton's method; beyond either, ``mix`` raises.
-MOST_SOURCES, MOST_ROUNDS = 100_000, 400
+MOST_SOURCES, MOST_ROUNDS = 100_000, 100
 #: Places of the order in which documents take their spare copy, and the part of it that one look settles, in bits.
 PLACE_BITS, LOOK_BITS = 44, 11
 
@@ -42,44 +42,44 @@ def _rate(most: float) -> Column:
 
 
 def _balance(bins: DataFrame, sources: list, goal: list[float], most: float, close: float = 1e-9) -> list[float]:
-    """The dual's multiplier of each source: Newton steps, each one aggregation over the bins.
+    """The dual's multiplier of each source: Newton steps, each round one aggregation over the bins.
 
     The primal is the least relative entropy of document rates to 1 under one token constraint a
     source and rates of at most ``most``; rates are then min(most, exp(multiplier * size / mean)).
-    A bracket around each root keeps every step inside it; a step that doesn't halve it in three
-    rounds is replaced by its middle, so the rounds end.
+    A round takes Newton's step from both ends of a bracket around each root, and looks at points
+    spread over the bracket as well, which shrinks at least to a fifth; so the rounds end.
     """
     spark, mean = bins.sparkSession, [s["words"] / s["docs"] if s["words"] else 1.0 for s in sources]
-    low = [-700.0 * m for m in mean]
-    high = [math.log(most) * m / s["least"] if s["words"] else 0.0 for m, s in zip(mean, sources, strict=True)]
-    at, wide = [0.0] * len(sources), [math.inf] * len(sources)
-    active = {i for i, s in enumerate(sources) if s["words"]}
-    for i in list(active):
-        if goal[i] >= most * sources[i]["words"] * (1 - 1e-12):  # the target at the bound: every rate is at the bound
-            at[i] = high[i]
-            active.discard(i)
-    for round_ in range(MOST_ROUNDS):
-        if not active:
+    bracket = [(-700.0 * m, math.log(most) * m / s["least"] if s["words"] else 0.0) for m, s in zip(mean, sources, strict=True)]
+    at, tries = [0.0] * len(sources), {}
+    for i, s in enumerate(sources):
+        if s["words"] and goal[i] >= most * s["words"] * (1 - 1e-12):  # the target at the bound: every rate is at the bound
+            at[i] = bracket[i][1]
+        elif s["words"]:
+            tries[i] = [0.0, *(x for k in range(-6, 6) for x in (2.0**k, -(2.0**k)))]
+    for _ in range(MOST_ROUNDS):
+        if not tries:
             return [a / m for a, m in zip(at, mean, strict=True)]
-        state = spark.createDataFrame([(i, at[i] / mean[i]) for i in sorted(active)], "sid long, tilt double")
-        rate = F.least(F.lit(most), F.exp(F.least(F.lit(50.0), F.col("tilt") * F.col("size"))))
+        state = spark.createDataFrame([(i, t, t / mean[i]) for i, own in sorted(tries.items()) for t in sorted(own) if bracket[i][0] <= t <= bracket[i][1]], "sid long, at double, tilt double")
+        rate = F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), F.col("tilt") * F.col("size"))))
         slope = F.when(rate < most, rate * F.col("size")).otherwise(0.0)
-        sums = bins.join(F.broadcast(state), "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * rate).alias("g"), F.sum(F.col("n") * F.col("size") * slope).alias("h"))
-        for row in sums.collect():
-            i = row["sid"]
-            miss = row["g"] - goal[i]
-            if abs(miss) <= close * max(goal[i], 1.0) or high[i] - low[i] <= 1e-15 * max(abs(high[i]), abs(low[i])):
-                active.discard(i)
+        sums = bins.join(F.broadcast(state), "sid").groupBy("sid", "at").agg(F.sum(F.col("n") * F.col("size") * rate).alias("g"), F.sum(F.col("n") * F.col("size") * slope).alias("h"))
+        seen: dict[int, list] = {i: [] for i in tries}
+        for r in sums.collect():
+            seen[r["sid"]].append((r["at"], r["g"] - goal[r["sid"]], r["h"]))
+        for i, own in seen.items():
+            own.sort()
+            best = min(own, key=lambda x: abs(x[1]))
+            below, above = [x for x in own if x[1] <= 0], [x for x in own if x[1] > 0]
+            low, high = max([bracket[i][0], *(x[0] for x in below)]), min([bracket[i][1], *(x[0] for x in above)])
+            bracket[i], at[i] = (low, high), best[0]
+            if abs(best[1]) <= close * max(goal[i], 1.0) or high - low <= 1e-15 * max(abs(high), abs(low)):
+                del tries[i]
                 continue
-            if miss > 0:
-                high[i] = at[i]
-            else:
-                low[i] = at[i]
-            step = at[i] - miss * mean[i] / row["h"] if row["h"] > 0 else math.inf
-            slow = round_ % 3 == 2 and high[i] - low[i] > wide[i] / 2
-            if round_ % 3 == 2:
-                wide[i] = high[i] - low[i]
-            at[i] = step if low[i] < step < high[i] and not slow else (low[i] + high[i]) / 2
+            newton = [x[0] - x[1] * mean[i] / x[2] for x in (*below[-1:], *above[:1]) if x[2] > 0]
+            tries[i] = list({x for x in (*newton, *(low + (high - low) * k / 5 for k in range(1, 5))) if low < x < high})
+            if not tries[i]:  # no number lies between
+                del tries[i]
     raise RuntimeError("the multipliers did not settle")
 
 

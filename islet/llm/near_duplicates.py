@@ -169,7 +169,7 @@ def _checked(least: float):
 def _links(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
     """The pairs ``a, b`` of keys whose texts are similar, written."""
     left, right = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    both = right.join(pairs.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
     return stage(both.mapInArrow(_checked(least), "a long, b long"), name)
 
 
@@ -201,44 +201,46 @@ def _block_links(least: float):
         at, column, weight = at[order], column[order], weight[order]
         for low in range(0, int(often.sum()), 2048):
             i, j = np.searchsorted(column, (low, low + 2048))
-            x = np.zeros((len(keys), 2048), np.float32)
-            x[at[i:j], column[i:j] - low] = 1
-            common[0] += x @ x.T
-            # the lesser of two multiplicities is the sum over levels that both reach
-            for level in range(1, int(weight[i:j].max(initial=0)) + 1):
-                if level > 1:
-                    y = weight[i:j] >= level
-                    rows, inverse = np.unique(at[i:j][y], return_inverse=True)
-                    x = np.zeros((len(rows), 2048), np.float32)
-                    x[inverse, column[i:j][y] - low] = 1
-                    common[1][np.ix_(rows, rows)] += x @ x.T
-                else:
-                    common[1] += x @ x.T
+            before = 0
+            # the lesser of two multiplicities is the sum over the steps between multiplicities that both reach
+            for level in np.unique(weight[i:j]):
+                y = weight[i:j] >= level
+                rows, inverse = np.unique(at[i:j][y], return_inverse=True)
+                x = np.zeros((len(rows), 2048), np.float32)
+                x[inverse, column[i:j][y] - low] = 1
+                both = x @ x.T
+                if not before:
+                    common[0][np.ix_(rows, rows)] += both
+                common[1][np.ix_(rows, rows)] += (level - before) * both
+                before = level
         alike = np.zeros(common[0].shape, bool)
         for both, own in zip(common, (sizes.astype(np.float64), total), strict=True):
             alike |= both >= least * (own[:, None] + own[None, :] - both) - 1e-6
         alike &= (comps[:, None] != comps[None, :]) & ((sides[:, None] != sides[None, :]) | (len(np.unique(sides)) == 1))
-        head: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while head.get(c, c) != c:
-                c = head[c]
-            return c
-
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(alike)), strict=True):
-            x, y = top(int(comps[i])), top(int(comps[j]))
-            if x != y:
-                head[max(x, y)] = min(x, y)
-                out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
-        found = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        i, j = np.nonzero(np.triu(alike))
+        kept = _forest(*(np.searchsorted(np.unique(comps), comps[x]) for x in (i, j)))
+        a, b = keys[i[kept]], keys[j[kept]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
-#: Members of a block: two blocks at most are compared in a task.
-BLOCK = 1024
+def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the links x - y suffice to join all that they join: each group hooks to a smaller one, until none is left to join."""
+    head, left, out = np.arange(max(x.max(initial=0), y.max(initial=0)) + 1), np.arange(len(x)), [np.zeros(0, np.int64)]
+    while len(left):
+        a, b = head[x[left]], head[y[left]]
+        left, a, b = (k[a != b] for k in (left, a, b))
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        out.append(left[first])
+        head[high] = np.minimum(a, b)[first]
+        while not np.array_equal(up := head[head], head):
+            head = up
+    return np.concatenate(out)
+
+
+#: Members of a block, and their shingles: two blocks at most are compared in a task.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
 
 def _links_across(shared: DataFrame, tied: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -247,7 +249,8 @@ def _links_across(shared: DataFrame, tied: DataFrame, texts: DataFrame, least: f
     Texts whose shingles are by more than 1 - ``least`` their own can have no partner and leave
     (exact). The others are compared exactly, block by block, by products of their shingle matrices;
     a large bucket is cut into blocks and each pair of blocks is a task. Only links that join
-    components come out, fewer than a block has members.
+    components come out, fewer than a block has members. A bucket of many texts that share most of
+    their shingles and are still unlike costs the square of its blocks; nothing is left out.
     """
     parted = shared.where("key <> a").join(tied, "key", "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
     # a bucket whose members lie in one component has no link to add
@@ -260,15 +263,16 @@ def _links_across(shared: DataFrame, tied: DataFrame, texts: DataFrame, least: f
     alone = alone.groupBy("key").agg(F.count("*").alias("u"), F.sum("w").alias("uw"))
     total = F.aggregate("weights", F.lit(0).cast("long"), lambda x, y: x + y)
     shares = sets.withColumn("_n", F.size("elements")).withColumn("_w", total).join(alone, "key", "left").na.fill(0, ["u", "uw"])
-    able = shares.where((F.col("_n") - F.col("u") >= least * F.col("_n")) | (F.col("_w") - F.col("uw") >= least * F.col("_w"))).select("key", "elements", "weights")
+    able = shares.where((F.col("_n") - F.col("u") >= least * F.col("_n")) | (F.col("_w") - F.col("uw") >= least * F.col("_w"))).select("key", "elements", "weights", "_n")
     able = stage(able, "able")
-    left = kept.join(able.select("key"), "key", "left_semi")
-    counts = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    left = kept.join(able.select("key", "_n"), "key")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    counts = left.groupBy("band").agg(blocks, F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     put = left.join(counts.select("band", "blocks"), "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     # a block meets every other block once, and itself where it is alone or first
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     sent = put.withColumn("p", F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)))
-    sent = sent.select("band", "p.i", "p.j", "key", "comp", (F.col("own") == F.col("p.j")).cast("int").alias("side")).join(able, "key")
+    sent = sent.select("band", "p.i", "p.j", "key", "comp", (F.col("own") == F.col("p.j")).cast("int").alias("side")).join(able.drop("_n"), "key")
     links = stage(sent.groupBy("band", "i", "j").applyInArrow(_block_links(least), "a long, b long").distinct(), "more-links")
     drop(kept, sets, able)
     return links
@@ -288,8 +292,12 @@ def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "d
     Components of all links.
 
     Null, empty and blank texts are a class each. Null keys: a class of such rows alone has a null
-    class_id. Repeated keys and equal rows are all returned. No rows: an empty table.
+    class_id. Repeated keys and equal rows are all returned. Very long texts are compared whole. No
+    rows: an empty table. ValueError if ``carry`` has a name of the added columns.
     """
+    clash = {c.lower() for c in carry} & {"class_id", "class_size", "first"}
+    if clash:
+        raise ValueError(f"carried columns are named like added ones: {sorted(clash)}")
     found = _classes(docs, tuple(carry), key, text, least)
     return found.select("_row.*", "class_id", "class_size", "first")
 
@@ -315,22 +323,30 @@ def _classes(docs: DataFrame, carry: tuple[str, ...], key: str, text: str, least
     drop(multiple)
     ties = stage(shared.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "ties")
     wanted = ties.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = stage(rows.select("key", "text").join(wanted, "key", "left_semi"), "candidates")  # other texts move no more
+    texts = stage(rows.select("key", "text").join(wanted.hint("merge"), "key", "left_semi"), "candidates")  # other texts move no more
     links = _links(ties, texts, least, "links")
     tied = components.stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")), 0).select(F.col("u").alias("key"), F.col("v").alias("comp"))
     more = _links_across(shared, tied, texts, least)
     drop(ties, shared, texts)
-    every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    tied = components.stars(every, 0).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-    comps = members.join(tied, "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
+    # the links found last join components: those, seen as vertices, are contracted in turn
+    ends = more
+    for c in "ab":
+        ends = ends.join(tied.select(F.col("key").alias(c), F.col("comp").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    joined = components.stars(ends.select(F.col("a").alias("u"), F.col("b").alias("v")), 0)
+    first = members.join(tied.withColumnRenamed("key", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("u"))
+    comps = first.join(joined, "u", "left").select("key", F.coalesce("v", "u").alias("comp"))
     light = stage(comps.join(rows.select("key", "id"), "key"), "classes")
     drop(links, more, members)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     heads = light.groupBy("comp").agg(F.min(order).alias("head"), F.count("*").alias("class_size")).select("comp", F.col("head.id").alias("class_id"), F.col("head.key").alias("_head"), "class_size")
     named = light.select("key", "comp").join(heads, "comp").select("key", "class_id", "class_size", (F.col("key") == F.col("_head")).alias("first"))
-    return rows.select("_row", "key").join(named, "key").select("_row", "class_id", "class_size", "first")
+    # texts move as they would at any size: the other side is broadcast only while it is small
+    return rows.select("_row", "key").join(named.hint("merge"), "key").select("_row", "class_id", "class_size", "first")
 
 
 def keep(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of each class of near-duplicates, that of the least doc_id, with its own columns."""
+    """One row of each class of near-duplicates, that of the least doc_id, with its own columns, whatever their names.
+
+    Nulls, ties, repeated rows, long texts and empty tables: as in ``classes``; blank texts are kept.
+    """
     return _classes(docs, tuple(docs.columns), "doc_id", "text", least).where("first").select("_row.*")

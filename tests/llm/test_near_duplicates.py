@@ -152,3 +152,52 @@ def test_odd_rows(spark):
     assert nd.keep(odd(spark)).count() == len(ODD) - 1
     assert nd.keep(odd(spark)).columns == odd(spark).columns
     assert nd.classes(none(spark)).count() == 0
+
+
+def test_forest_joins_what_its_links_join():
+    from islet.operators.components import least_labels
+
+    rng = np.random.default_rng(2)
+    for many in (0, 1, 30, 400):
+        x, y = rng.integers(0, 60, many), rng.integers(0, 60, many)
+        x, y = x[x != y], y[x != y]
+        kept = nd._forest(x, y)
+        ids, least = least_labels(x, y)
+        assert len(kept) == len(ids) - len(set(least.tolist()))
+        assert all(map(np.array_equal, least_labels(x[kept], y[kept]), (ids, least)))
+
+
+def test_long_runs_of_one_word(spark):
+    """Multiplicities cost by their number of different values, not by their height."""
+    own = [" ".join(f"a{i}x{j}" for j in range(40)) for i in range(3)]
+    rows = [(i, own[i % 3] + " w" * (200_000 + 1000 * i)) for i in range(6)]
+    got = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert set(got.values()) == {0}
+    shared = spark.createDataFrame([(1, i, -1) for i, _ in rows], "band long, key long, a long")
+    texts = spark.createDataFrame(rows, "key long, text string")
+    links = nd._links_across(shared, spark.createDataFrame([], "key long, comp long"), texts, 0.8)
+    assert links.count() == 5
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 100)
+    texts = {i: " ".join([f"w{j}" for j in range(60)] + [f"x{i}"]) for i in range(12)}
+    table = spark.createDataFrame([(3, i, -1, t) for i, t in texts.items()], "band long, key long, a long, text string")
+    links = nd._links_across(table.select("band", "key", "a"), spark.createDataFrame([], "key long, comp long"), table.select("key", "text"), 0.8).collect()
+    ids, least = components_of([(r["a"], r["b"]) for r in links])
+    assert len(ids) == 12 and set(least) == {0}
+
+
+def components_of(links):
+    from islet.operators.components import least_labels
+
+    return [x.tolist() for x in least_labels(*(np.array(c, np.int64) for c in zip(*links)))]
+
+
+def test_clashing_names(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="first"):
+        nd.classes(odd(spark).withColumnRenamed("f", "First"), ("doc_id", "First"))
+    docs = odd(spark).withColumnRenamed("f", "first").withColumnRenamed("size", "key")
+    assert nd.keep(docs).columns == docs.columns
