@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,10 @@ from islet.llm.batches import text_slices
 from islet.llm.bpe import WORK_BYTES, Encoder
 from islet.storage import stage
 
+#: Room of a sequence, in tokens, that is worth cutting a piece for.
+LEAST_ROOM = 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long"
+PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _cut(path: str, end: int, capacity: int, keep_ids: bool):
@@ -30,8 +34,9 @@ def _cut(path: str, end: int, capacity: int, keep_ids: bool):
                 doc = np.repeat(np.arange(len(sizes)), many)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * capacity
                 length = np.minimum(capacity, sizes[doc] - start)
-                at, raw = ends[doc] + start, ids.astype("<u4", copy=False)
-                sums = [zlib.crc32(raw[a : a + n]) for a, n in zip(at, length, strict=True)]
+                at, raw = ends[doc] + start, memoryview(ids.astype("<u4", copy=False).tobytes())
+                data = [raw[4 * a : 4 * (a + n)] for a, n in zip(at, length, strict=True)]
+                sums = [zlib.crc32(x) for x in data]
                 # the rank of a piece among this task's pieces of its length
                 by = np.argsort(length, kind="stable")
                 firsts = np.searchsorted(length[by], length[by])
@@ -40,11 +45,9 @@ def _cut(path: str, end: int, capacity: int, keep_ids: bool):
                 seen += np.bincount(length, minlength=capacity + 1)
                 columns = [part.column(0).take(pa.array(doc)), *map(pa.array, (start.astype(np.int64), length.astype(np.int64)))]
                 columns += [pa.array(sums, pa.int64()), pa.array(sizes[doc].astype(np.int64)), pa.array(np.full(len(doc), task, np.int64)), pa.array(rank)]
-                names = PIECES.replace(" long", "").split(", ")
-                if keep_ids:  # pieces lie in a row, so their ends cut the ids of the slice
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1]).astype(np.int32)), pa.array(ids)))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                # a full piece is cut no more
+                columns.append(pa.array([x if keep_ids or n < capacity else None for x, n in zip(data, length, strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [*PIECES.replace(" long", "").split(", "), "raw"])
 
     return run
 
@@ -79,34 +82,128 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int,
     return [p for group in room for p in group]
 
 
-def _slots(patterns: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, ...]:
-    """Slots by length and first rank: each takes the next ranks of its length, one a sequence of its pattern."""
-    rows, first, taken = [], 0, {}
-    for many, lengths in patterns:
+def poured(patterns: list[tuple[int, tuple[int, ...]]], capacity: int, least: int = LEAST_ROOM) -> tuple[list, list]:
+    """Patterns parted into those that stay, fullest first, and those whose pieces fill the room that they leave.
+
+    As many of the emptiest sequences are given up as the rooms of at least ``least`` tokens in the
+    others can hold; their pieces are cut where a room ends. What is left as padding is less than
+    ``least`` a sequence, and less than two sequences.
+    """
+    order = sorted(patterns, key=lambda p: (-sum(p[1]), p[1]))
+    sequences = sum(many for many, _ in order)
+
+    def split(keep: int) -> tuple[list, list]:
+        stay, go = [], []
+        for many, lengths in order:
+            here = min(keep, many)
+            keep -= here
+            stay += [(here, lengths)] * (here > 0)
+            go += [(many - here, lengths)] * (many > here)
+        return stay, go
+
+    def fits(keep: int) -> bool:
+        stay, go = split(keep)
+        rooms = sum(many * (capacity - sum(x)) for many, x in stay if capacity - sum(x) >= least)
+        return rooms >= sum(many * sum(x) for many, x in go)
+
+    low, high = 0, sequences  # fewer sequences have less room and more to take
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if fits(middle) else (middle + 1, high)
+    return split(low)
+
+
+@dataclass(frozen=True)
+class Places:
+    """Where pieces go, by length and rank: ``sequence`` counts up with the rank, and ``offset`` is fixed; or, for
+    pieces that are poured, ``sequence`` is -1 and ``offset`` the place on a line of rooms, one piece after the other.
+
+    ``rooms``: by place on that line: where rooms of one size begin, the size, and the first sequence that has one.
+    """
+
+    length: np.ndarray
+    rank: np.ndarray
+    sequence: np.ndarray
+    offset: np.ndarray
+    rooms: np.ndarray
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence (-1: poured) and offset of each piece."""
+        keys = (self.length.astype(np.uint64) << np.uint64(48)) + self.rank.astype(np.uint64)
+        at = np.searchsorted(keys, (length.astype(np.uint64) << np.uint64(48)) + rank.astype(np.uint64), "right") - 1
+        first, more = self.sequence[at], rank - self.rank[at]
+        return np.where(first < 0, -1, first + more), np.where(first < 0, self.offset[at] + more * length, self.offset[at])
+
+    def chunks(self, begin: int, end: int, capacity: int) -> Iterator[tuple[int, int, int, int]]:
+        """The rooms that the line from ``begin`` to ``end`` runs through: from, to, sequence, offset."""
+        k = int(np.searchsorted(self.rooms[:, 0], begin, "right")) - 1
+        while begin < end:
+            base, size, first = map(int, self.rooms[k])
+            which = (begin - base) // size
+            to = min(end, base + (which + 1) * size)
+            yield begin, to, first + which, capacity - size + (begin - base) % size
+            begin = to
+            if k + 1 < len(self.rooms) and begin >= self.rooms[k + 1, 0]:
+                k += 1
+
+
+def places(patterns: list[tuple[int, tuple[int, ...]]], capacity: int, least: int = LEAST_ROOM) -> Places:
+    """The places of all pieces; each slot of a pattern takes the next ranks of its length."""
+    stay, go = poured(patterns, capacity, least)
+    rows, rooms, first, line, taken = [], [], 0, 0, {}
+    for many, lengths in stay:
         offset = 0
         for length in lengths:
             rows.append((length, taken.get(length, 0), first, offset))
             taken[length] = taken.get(length, 0) + many
             offset += length
+        if capacity - offset >= least:
+            rooms.append((capacity - offset, many, first))
         first += many
+    for many, lengths in go:
+        for length in lengths:
+            rows.append((length, taken.get(length, 0), -1, line))
+            taken[length] = taken.get(length, 0) + many
+            line += many * length
+    ordered, at = [], 0
+    for size, many, sequence in sorted(rooms, key=lambda r: (-r[0], r[2])):  # large rooms first: few cuts
+        ordered.append((at, size, sequence))
+        at += size * many
     table = np.array(rows, np.int64).reshape(-1, 4)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    return table[:, 0], table[:, 1], table[:, 2], table[:, 3]
+    return Places(*table.T, np.array(ordered, np.int64).reshape(-1, 3))
+
 
+def _placed(where, capacity: int, keep_ids: bool, cut: bool):
+    """Rows of whole pieces, or with ``cut`` those of the pieces that are poured."""
 
-def _placed(slots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, ranks, firsts, offsets = slots.value
-        keys = (lengths.astype(np.uint64) << np.uint64(48)) + ranks.astype(np.uint64)
+        names = [x.split()[0] for x in PLACED.split(", ")]
         for batch in batches:
-            if not batch.num_rows:
+            length, rank = (batch.column(batch.schema.names.index(k)).to_numpy() for k in ("length", "rank"))
+            sequence, offset = where.value.find(length, rank)
+            some = np.flatnonzero((sequence < 0) == cut)
+            if not len(some):
                 continue
-            names = batch.schema.names
-            length, rank = (batch.column(names.index(k)).to_numpy() for k in ("length", "rank"))
-            at = np.searchsorted(keys, (length.astype(np.uint64) << np.uint64(48)) + rank.astype(np.uint64), "right") - 1
-            keep = [k for k in names if k != "rank"]
-            extra = [pa.array(firsts[at] + rank - ranks[at]), pa.array(offsets[at])]
-            yield pa.RecordBatch.from_arrays([batch.column(names.index(k)) for k in keep] + extra, [*keep, "sequence_id", "offset"])
+            part = batch.take(pa.array(some))
+            columns = [part.column(part.schema.names.index(k)) for k in names]
+            raw = part.column(part.schema.names.index("raw")) if keep_ids or cut else None
+            if not cut:
+                columns += [pa.array(sequence[some]), pa.array(offset[some])]
+            else:
+                data, rows = raw.to_pylist(), []
+                for i, (at, n, start) in enumerate(zip(offset[some], length[some], columns[1].to_numpy(), strict=True)):
+                    for a, b, own, to in where.value.chunks(int(at), int(at + n), capacity):
+                        rows.append((i, int(start) + a - at, b - a, data[i][4 * (a - at) : 4 * (b - at)], own, to))
+                row, start, size, data, own, to = zip(*rows, strict=True)
+                row, raw = pa.array(row), pa.array(data, pa.binary())
+                whole = dict(zip(names, (c.take(row) for c in columns), strict=True))
+                whole |= {"start": pa.array(start, pa.int64()), "length": pa.array(size, pa.int64()), "ids_crc32": pa.array(map(zlib.crc32, data), pa.int64())}
+                columns = [*whole.values(), pa.array(own, pa.int64()), pa.array(to, pa.int64())]
+            if keep_ids:
+                flat = [np.frombuffer(x, "<i4") for x in raw.to_pylist()]
+                columns.insert(5, pa.array(flat, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [*names, *["ids"] * keep_ids, "sequence_id", "offset"])
 
     return run
 
@@ -115,25 +212,35 @@ def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = 2048, keep_i
     """Place all tokens of ``docs(doc_id, text)`` into sequences of at most ``capacity`` tokens.
 
     A document's ids and ``end`` are cut into pieces of ``capacity`` and a rest; full pieces fill a
-    sequence each, rests are packed shortest pack first. Returns a row a piece: doc_id, start,
-    length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ``ids`` on request.
+    sequence each, rests are packed shortest pack first. The emptiest sequences are then given up
+    and their pieces cut once more, to fill the room of the others (see ``poured``), so padding is
+    little whatever the lengths. Returns a row a piece: doc_id, start, length, ids_crc32,
+    doc_tokens, sequence_id, offset, and the piece's ``ids`` on request.
 
     The pieces are written once with their rank among their task's pieces of the same length.
     Counts by task and length turn it into a rank over all; only the histogram (``capacity`` rows
-    at most) reaches the driver, only the patterns' slots go back. No length is sorted, so one
-    very common length is no hot spot.
+    at most) reaches the driver, only the patterns' places go back. No length is sorted, so one
+    very common length is no hot spot. Ids are read again only for lengths that are poured.
 
-    Null or empty text: one piece that holds ``end``. Null, repeated doc_ids and equal rows are
-    documents of their own. Other columns are not read. No rows: no pieces.
+    Null or empty text: one piece that holds ``end``. Very long texts are cut like any other. Null,
+    repeated doc_ids and equal rows are documents of their own. Other columns are not read. No
+    rows: no pieces.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = stage(texts.mapInArrow(_cut(tokenizer, end, capacity, keep_ids), PIECES + ", ids array<int>" * keep_ids), "pieces")
+    pieces = stage(texts.mapInArrow(_cut(tokenizer, end, capacity, keep_ids), PIECES + ", raw binary"), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.sparkContext.broadcast(_slots(plan(histogram, capacity)))
+    found = places(plan(histogram, capacity), capacity)
+    where = spark.sparkContext.broadcast(found)
     before = counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
-    keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return ranked.select(*keep, "rank").mapInArrow(_placed(slots), schema + ", sequence_id long, offset long")
+    schema = PLACED + ", ids array<int>" * keep_ids + ", sequence_id long, offset long"
+
+    def placed(rows: DataFrame, cut: bool) -> DataFrame:
+        ranked = rows.join(before, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
+        needed = [*(x.split()[0] for x in PLACED.split(", ")), "rank", *["raw"] * (keep_ids or cut)]
+        return ranked.select(*needed).mapInArrow(_placed(where, capacity, keep_ids, cut), schema)
+
+    out = placed(pieces, False)
+    some = sorted(set(found.length[found.sequence < 0].tolist()))
+    return out.unionByName(placed(pieces.where(F.col("length").isin(some)), True)) if some else out

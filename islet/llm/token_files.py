@@ -73,12 +73,14 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Files follow each other by name. Offsets of files come from the ``n_tokens`` column alone, one
-    row a file; inside a file a running sum follows the row order.
+    Files follow each other by the number in their names (which outgrows its five digits), then by
+    name. Offsets of files come from the ``n_tokens`` column alone, one row a file; inside a file a
+    running sum follows the row order.
     """
     rows = read(spark, path)
     whole = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids_in_file"))
-    whole = whole.select("file", (F.sum("ids_in_file").over(Window.orderBy("file")) - F.col("ids_in_file")).alias("before_file"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
+    whole = whole.select("file", (F.sum("ids_in_file").over(Window.orderBy(number, "file")) - F.col("ids_in_file")).alias("before_file"))
     each = rows.mapInArrow(_sums, "doc_id long, n_tokens long, ids_crc32 long, file string, row long")
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
     return each.withColumn("inside", inside).join(whole, "file").select("doc_id", (F.col("before_file") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

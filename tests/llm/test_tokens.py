@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -168,3 +169,71 @@ def test_token_counts_odd_rows(spark):
     assert len(rows) == len(ODD)
     assert all((r["n_words"], r["n_pieces"]) == (0, 0) for r in rows if r["doc_id"] in (1, 2, 3))
     assert token_counts.count_pieces(none(spark), vocabulary).count() == 0
+
+
+@pytest.mark.parametrize("histogram", [{1025: 1000}, {1100: 300, 700: 900}, {1366: 50, 683: 10, 40: 3}, {5: 1}, {2047: 7, 1: 7}, {1500: 100, 1499: 37, 3: 5}])
+def test_poured_plans_leave_little_padding(histogram):
+    """Every piece has its place, sequences are gapless, and padding keeps its bound."""
+    capacity, patterns = 2048, packing.plan(histogram, 2048)
+    where, spans = packing.places(patterns, capacity), {}
+    for length, many in histogram.items():
+        sequence, offset = where.find(np.full(many, length), np.arange(many))
+        for s, o in zip(sequence.tolist(), offset.tolist()):
+            if s >= 0:
+                spans.setdefault(s, []).append((o, o + length))
+            else:
+                parts = list(where.chunks(o, o + length, capacity))
+                assert [p[0] for p in parts] == [o, *(p[1] for p in parts[:-1])] and parts[-1][1] == o + length
+                for a, b, own, to in parts:
+                    spans.setdefault(own, []).append((to, to + b - a))
+    assert sorted(spans) == list(range(len(spans)))
+    for own in spans.values():
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] <= capacity and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    padding = len(spans) * capacity - sum(k * n for k, n in histogram.items())
+    assert padding < packing.LEAST_ROOM * len(spans) + 2 * capacity
+
+
+def test_documents_of_one_length_are_cut_to_fill(spark):
+    texts = {i: "a b" * 30 + f" {i % 10}" for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    capacity = int(len(ids_of(texts[0], 1)) * 1.9)
+    for keep_ids in (False, True):
+        rows = packing.pack(docs, PATH, 1, capacity, keep_ids).collect()
+        assert check_packing(rows, texts, capacity) < 2 * packing.LEAST_ROOM / capacity
+        if keep_ids:
+            assert all(r["ids"] == ids_of(texts[r["doc_id"]], 1)[r["start"] : r["start"] + r["length"]] for r in rows)
+
+
+def test_files_follow_by_number(spark, tmp_path):
+    """Beyond 99,999 files their numbers outgrow their digits."""
+    import pyarrow.parquet as pq
+
+    for number, doc in ((99_999, 1), (100_000, 2), (5, 0)):
+        table = pa.table({"doc_id": pa.array([doc], pa.int64()), "n_tokens": pa.array([doc + 1], pa.int32()), "ids": pa.array([[2] * (doc + 1)], pa.list_(pa.int32()))})
+        pq.write_table(table, tmp_path / f"part-{number:05}-x.parquet")
+    assert {r["doc_id"]: r["start"] for r in token_files.digests(spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 3}
+
+
+def test_pages_are_indexed(spark):
+    """Ids and doc_ids have an entry a page, by which a reader of one document finds it."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = new_path(spark, "t")
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text number ', id, ' ', repeat('word ', 40)) as text")
+    token_files.write(docs.coalesce(1), path, PATH, 2, page_rows=100)
+    assert token_files.read(spark, path).where("doc_id = 1234").select("doc_id", "n_tokens").count() == 1
+    for f in glob.glob(path.removeprefix("file://") + "/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).column(0).has_offset_index and meta.row_group(g).column(2).has_offset_index
+
+
+def test_very_long_texts(spark):
+    long = "some words to go on with, " * 60_000
+    docs = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")
+    rows = packing.pack(docs, PATH, 1).collect()
+    assert check_packing(rows, {1: long, 2: None}, 2048) < 1
+    assert [r["n_words"] for r in token_counts.count_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).orderBy("doc_id").collect()] == [360_000, 0]
