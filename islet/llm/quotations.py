@@ -2,34 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A quoted line: marks, each with a blank after it or not, then the passage. Attribution lines are not quotes.
+from islet.llm.batches import text_slices
+from islet.storage import stage
+
+#: A quoted line: marks, each with a blank after it or not, then what is quoted.
 MARKS = r"^((?:[ \t]*>)+)"
+#: The line by which mail programs announce a quote; it counts only with a deeper line after it.
+ATTRIBUTION = r"(?i)\b(?:wrote|writes|said|schrieb|écrit|escribió|ha scritto)\b[^:]*:\s*$"
+#: Words of a passage that are compared together, and the share of them that must come from earlier turns.
+SHINGLE, LEAST = 5, 0.8
 #: Turns that are ordered together; longer conversations are ordered in parts.
 PART = 4096
 
+_MARKS, _ATTRIBUTION, _BREAK = regex.compile(MARKS), regex.compile(ATTRIBUTION), regex.compile(r"\r\n|\n|\r")
 
-def _plain(line: Column) -> Column:
-    """A passage as it is compared: without case, blanks or marks at its ends, blanks in a row as one."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s ]+", " "))
 
+def parsed(text: str) -> list[tuple[int, str, str]]:
+    """Level of quotation, what is said, and the line as it stands, of each line that is no attribution."""
+    lines = []
+    for line in _BREAK.split(text):
+        found = _MARKS.match(line)
+        lines.append((found.group(1).count(">"), line[found.end() :], line) if found else (0, line, line))
+    out = []
+    for i, (level, said, line) in enumerate(lines):
+        if _ATTRIBUTION.search(said):
+            below = next((x for x in lines[i + 1 : i + 3] if x[1].strip() or x[0] > level), None)
+            if below and below[0] == level + 1:
+                continue
+        out.append((level, said, line))
+    return out
 
-def lines(messages: DataFrame) -> DataFrame:
-    """Each line of each message: ``conv_id, turn, line, level`` (of quotation), ``passage`` and its hash ``key``."""
-    whole = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r")).alias("line", "raw"))
-    marks = F.regexp_extract("raw", MARKS, 1)
-    level = F.length(F.regexp_replace(marks, r"[ \t]", ""))
-    passage = _plain(F.expr("substring(raw, length(_marks) + 1)"))
-    parted = whole.withColumn("_marks", marks).select("conv_id", "turn", "line", level.alias("level"), passage.alias("passage"))
-    return parted.where("passage <> ''").withColumn("key", F.xxhash64("passage"))
 
+def passages(lines: list[tuple[int, str, str]]) -> list[tuple[int, list[str]]]:
+    """Runs of lines of one level: the level and the words, in lower case, wherever lines were broken.
 
-def unquoted(text: Column) -> Column:
-    """A text without its quoted lines; blank lines at its ends go too. Null is empty."""
-    kept = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: ~x.rlike(MARKS))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"\A(?:[ \t]*\n)+|(?:\n[ \t]*)+\z", "")
+    A quoted run too short for a run of ``SHINGLE`` words is as many passages as it has lines.
+    """
+    runs: list[tuple[int, list[list[str]]]] = []
+    for k, (level, said, _) in enumerate(lines):
+        if not k or lines[k - 1][0] != level:
+            runs.append((level, []))
+        runs[-1][1].append(said.lower().split())
+    out = []
+    for level, parts in runs:
+        words = [w for part in parts for w in part]
+        out += [(level, part) for part in parts] if level and len(words) < SHINGLE else [(level, words)]
+    return [p for p in out if p[1]]
+
+
+def shingles(words: list[str]) -> set[int]:
+    """Hashes of the runs of ``SHINGLE`` words; fewer words are one."""
+    runs = (" ".join(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, 1)))
+    return {xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in runs}
+
+
+def unquoted(lines: list[tuple[int, str, str]]) -> str:
+    """A text without its quoted lines and attributions; blank lines at its ends go too."""
+    return regex.sub(r"\A(?:[ \t]*\n)+|(?:\n[ \t]*)+\z", "", "\n".join(line for level, _, line in lines if not level))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            texts, found = [], []
+            for text in part.column(part.schema.names.index("text")).to_pylist():
+                lines = parsed(text or "")
+                said, quoted = set(), []
+                for level, words in passages(lines):
+                    if level:
+                        quoted.append({"level": level, "keys": sorted(shingles(words))})
+                    else:
+                        said |= shingles(words)
+                # a line of few words can be quoted alone
+                said |= {k for level, line, _ in lines if not level and 0 < len(w := line.lower().split()) < SHINGLE for k in shingles(w)}
+                texts.append(unquoted(lines)), found.append([{"level": 0, "keys": sorted(said)}, *quoted])
+            kept = [part.column(part.schema.names.index(c)) for c in ("conv_id", "turn", "role")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(found, kind)], ["conv_id", "turn", "role", "text", "passages"])
 
 
 def _before(rows: DataFrame) -> DataFrame:
@@ -42,43 +99,66 @@ def _before(rows: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``position`` from 0 in the order of reply_to (none first), turn and text, in parts of a conversation."""
-    parted = rows.withColumn("_part", F.floor(F.coalesce("reply_to", F.lit(-1)) / PART))
-    sizes = parted.groupBy("conv_id", "_part").agg(F.count("*").alias("_n"))
-    ahead = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part")) - F.col("_n")
-    inside = F.row_number().over(Window.partitionBy("conv_id", "_part").orderBy(F.col("reply_to").asc_nulls_first(), "turn", "role", "text", "n_quoted"))
-    starts = sizes.select("conv_id", "_part", ahead.alias("_ahead"))
-    return parted.withColumn("_in", inside).join(starts, ["conv_id", "_part"]).withColumn("position", F.col("_ahead") + F.col("_in") - 1).drop("_part", "_in", "_ahead")
+    """``rows`` with ``position`` from 0 in the order of reply_to (none first), turn and text.
+
+    Counted in parts of a conversation, then by message answered and part of the answers, so neither
+    a long conversation nor a message with very many answers is ordered in one place.
+    """
+    to = F.coalesce("reply_to", F.lit(-1))
+    parted = rows.withColumns({"_part": F.floor(to / PART), "_to": to, "_turns": F.floor(F.col("turn") / PART)})
+    groups = parted.groupBy("conv_id", "_part", "_to", "_turns").agg(F.count("*").alias("_n"))
+    before = lambda n, by, order: F.sum(n).over(Window.partitionBy(*by).orderBy(*order)) - F.col(n)
+    parts = groups.groupBy("conv_id", "_part").agg(F.sum("_n").alias("_m"))
+    parts = parts.select("conv_id", "_part", before("_m", ["conv_id"], ["_part"]).alias("_first"))
+    starts = groups.withColumn("_ahead", before("_n", ["conv_id", "_part"], ["_to", "_turns"])).join(parts, ["conv_id", "_part"])
+    starts = starts.select("conv_id", "_to", "_turns", (F.col("_first") + F.col("_ahead")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "_to", "_turns").orderBy("turn", "role", "text", "n_quoted"))
+    return parted.withColumn("_in", inside).join(starts, ["conv_id", "_to", "_turns"]).withColumn("position", F.col("_start") + F.col("_in") - 1).drop("_part", "_to", "_turns", "_in", "_start")
 
 
 def link(messages: DataFrame) -> DataFrame:
     """Messages of ``messages(conv_id, turn, role, text)`` without quotes, in reply order.
 
-    Quoted passages are lines with marks before them, nested as deep as the marks; each is
-    normalised and hashed and joined to the first earlier turn of its conversation that says it
-    unquoted (the passage itself is compared too, so hashes can't err). ``reply_to``: the turn with
-    most linked passages among those quoted at the first level, the later one if two tie; deeper
-    levels are that message's own quotes. A message that links to none answers the turn before it.
-    ``position`` orders a conversation: by the message answered, then by turn, so answers to one
-    message stand together and after it. Returned: conv_id, turn, role, text, reply_to, n_quoted,
-    n_linked (passages of all levels), max_level, position.
-
-    An original passage is kept once a conversation before the join, so one very common line adds
-    a row a conversation and turn, and never pairs. Null text: empty. Null conv_id or turn: the
-    message is alone, with no reply_to and position 0. Rows of one turn share its passages; equal
-    rows are all returned. Other columns are not read. No rows: an empty table.
+    A quoted passage is a run of lines with the same number of marks before them, nested as deep as
+    the marks, wherever its lines were broken; lines that announce a quote ("... wrote:") belong to
+    none. Its words are hashed in runs of five and joined to the first earlier turn of its
+    conversation that says them unquoted. A passage is linked if 80 % of its runs are, to the turn
+    that has most of them; a quoted run of fewer than five words is taken line by line. ``reply_to``: the turn with most runs among the linked passages of the
+    first level, the later one if two tie; deeper levels are that message's own quotes. A message
+    that links to none answers the turn before it. ``position`` orders a conversation: by the
+    message answered, then by turn, so answers to one message stand together and after it. Returned:
+    conv_id, turn, role, text, reply_to, n_quoted, n_linked (passages of all levels), max_level, position.
+
+    A run of words is kept once a conversation before the join, so a very common passage adds a row
+    a run and conversation, and never pairs. Null text: empty. Very long texts are parsed whole. Null
+    conv_id or turn: the message is alone, with no reply_to and position 0. Rows of one turn share
+    its passages, equal ones once; equal rows are all returned. Other columns are not read. No rows:
+    an empty table.
     """
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    placed = rows.where("conv_id is not null and turn is not null")
-    parts = lines(placed)
-    said = parts.where("level = 0").groupBy("conv_id", "key", "passage").agg(F.min("turn").alias("origin"))
-    quoted = parts.where("level > 0").groupBy("conv_id", "turn", "level", "key", "passage").agg(F.count("*").alias("n"))
-    found = quoted.join(said, ["conv_id", "key", "passage"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
-    votes = found.groupBy("conv_id", "turn", "origin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("direct"), F.max("level").alias("level"))
+    schema = "conv_id long, turn long, role string, text string, passages array<struct<level: int, keys: array<bigint>>>"
+    whole = stage(rows.mapInArrow(_parsed, schema), "messages")
+    placed = whole.where("conv_id is not null and turn is not null")
+    parts = placed.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.keys")
+    said = parts.where("level = 0").select("conv_id", "turn", F.explode("keys").alias("key")).groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
+    quoted = parts.where("level > 0").select("conv_id", "turn", "level", "keys").distinct()
+    quoted = quoted.select("conv_id", "turn", "level", F.xxhash64("keys").alias("passage"), F.explode("keys").alias("key"))
+    found = quoted.join(said, ["conv_id", "key"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    by = ["conv_id", "turn", "level", "passage"]
+    each = found.groupBy(*by, "origin").agg(F.count("*").alias("n"))
+    known = F.when(F.col("origin").isNotNull(), F.struct("n", "origin"))
+    each = each.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n"))).alias("met"), F.max(known).alias("best"))
+    linked = F.col("met") >= LEAST * F.col("n")
+    each = each.withColumns({"linked": F.coalesce(linked, F.lit(False)), "origin": F.when(linked, F.col("best.origin")), "met": F.when(F.col("level") == 1, F.col("best.n"))})
+    votes = each.groupBy("conv_id", "turn", "origin").agg(F.sum("met").alias("direct"), F.count("*").alias("n"), F.max("level").alias("level"))
     best = F.max(F.when(F.col("origin").isNotNull() & (F.col("direct") > 0), F.struct("direct", "origin")))["origin"]
-    linked = votes.groupBy("conv_id", "turn").agg(best.alias("linked"), F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"), F.max("level").alias("max_level"))
-    joined = placed.join(_before(placed), ["conv_id", "turn"]).join(linked, ["conv_id", "turn"], "left")
+    links = votes.groupBy("conv_id", "turn").agg(best.alias("linked"), F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"), F.max("level").alias("max_level"))
+    joined = placed.drop("passages").join(_before(placed), ["conv_id", "turn"]).join(links, ["conv_id", "turn"], "left")
     none = F.lit(0).cast("long")
-    out = joined.select("conv_id", "turn", "role", unquoted(F.col("text")).alias("text"), F.coalesce("linked", "before").alias("reply_to"), *(F.coalesce(c, none).cast("long").alias(c) for c in ("n_quoted", "n_linked", "max_level")))
-    alone = rows.where("conv_id is null or turn is null").select("conv_id", "turn", "role", unquoted(F.col("text")).alias("text"), F.lit(None).cast("long").alias("reply_to"), *(none.alias(c) for c in ("n_quoted", "n_linked", "max_level")), none.alias("position"))
+    counts = ("n_quoted", "n_linked", "max_level")
+    out = joined.select("conv_id", "turn", "role", "text", F.coalesce("linked", "before").alias("reply_to"), *(F.coalesce(c, none).cast("long").alias(c) for c in counts))
+    alone = whole.where("conv_id is null or turn is null")
+    # a lone message's passages are counted, and linked to none
+    own = F.filter("passages", lambda p: p["level"] > 0)
+    alone = alone.select("conv_id", "turn", "role", "text", F.lit(None).cast("long").alias("reply_to"), F.size(own).cast("long").alias("n_quoted"), none.alias("n_linked"), F.coalesce(F.array_max(own["level"]), F.lit(0)).cast("long").alias("max_level"), none.alias("position"))
     return _ranked(out).select(alone.columns).unionByName(alone)
