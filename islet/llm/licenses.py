@@ -44,7 +44,32 @@ TEMPLATES = (
         if (kind, version) != ("BY-NC", "4.0")
     ),
 )
+#: Whole texts of short licences, for licence files and headers. The licences' own words.
+TEXTS = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+        to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+        copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+        IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+        AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+        EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+        FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
+        or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
+        under the License."""),
+)
 _TERM = r"[\p{L}\p{N}]+"
+#: Files that hold a licence by their name, and lines of a header: comments in the usual languages, at the top of a file.
+LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[^/]*)?$"
+HEADER = r"^\s*(?:/\*+|\*+/?|//+|#+|--|;+|%+|<!--|\"{3})(?:\s|$)"
 
 
 def terms(text: str) -> list[str]:
@@ -94,9 +119,10 @@ def _windows(files: DataFrame, templates, s: Space, least: float) -> DataFrame:
     """
     longest = max(len(terms(text)) for _, text in templates)
     needed = F.array(*(F.lit(t) for t in s.needed))
+    heads_ = sorted({t for _, text in templates for t in terms(text)})
 
     def cut(words: Column) -> Column:
-        from_here = F.transform(words, lambda w, i: F.struct(i.alias("line"), w.alias("head"), F.when(w.isin(*s.idf), F.slice(words, i + 1, longest)).alias("run")))
+        from_here = F.transform(words, lambda w, i: F.struct(i.alias("line"), w.alias("head"), F.when(w.isin(*heads_), F.slice(words, i + 1, longest)).alias("run")))
         return F.filter(from_here, lambda x: x["run"].isNotNull() & F.arrays_overlap(x["run"], needed))
 
     # an array of one, so that the words are listed once
@@ -111,43 +137,60 @@ def _windows(files: DataFrame, templates, s: Space, least: float) -> DataFrame:
     return runs.where(bound >= (least * 0.999) ** 2).select("key", "line", "own", "run")
 
 
-def passages(files: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataFrame:
+def _whole(files: DataFrame) -> DataFrame:
+    """``key, line, own, run``: the words of each licence file, and of each header (the comment lines at the top, two at least)."""
+    text = F.col("text")
+    lines = F.split(text, "\n")
+    body = F.array_position(F.transform(lines, lambda x: x.rlike(HEADER) | (F.trim(x) == "")), F.lit(False))
+    top = F.slice(lines, F.lit(1), F.when(body == 0, F.size(lines)).otherwise(body - 1).cast("int"))
+    header = F.when(F.size(F.filter(top, lambda x: x.rlike(HEADER))) >= 2, F.array_join(top, "\n"))
+    found = files.select("key", F.when(F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)), text).otherwise(header).alias("text"))
+    return found.where("text is not null").select("key", F.lit(0).alias("line"), F.lit(-2).alias("own"), _words(F.col("text")).alias("run"))
+
+
+def passages(files: DataFrame, templates=TEMPLATES, least: float = 0.6, texts=TEXTS) -> DataFrame:
     """``key, license, score, words``: the best template of each file's passages, where it reaches ``least``.
 
-    ``files(key, text)``. Document frequencies of all template terms are counted over all files;
+    ``files(key, path, text)``. Licence files and headers are compared whole with the templates and
+    the whole ``texts``. Statements stand in other places too: document frequencies of all template terms are counted over all files;
     terms of no template share one weight, that of a term of one file. Each line of the whole text
     is compared with each template, and each template with the windows of as many words, across
     lines, that begin with a term of it. What can't reach ``least`` is seen by its terms and left out
     before its vector is made. A passage without the first number of a template, its version, doesn't
-    state it. ``words``: words on lines that reach ``least``, or in windows that do if these are more.
+    state it. ``words``: words on lines that reach ``least``, or in windows or whole files and headers
+    that do if these are more.
     """
     spark = files.sparkSession
+    short, templates = len(templates), (*templates, *texts)
     every = sorted({t for _, text in templates for t in terms(text)})
     seen = files.select(F.array_distinct(F.array_intersect(_words(F.col("text")), F.array(*(F.lit(t) for t in every)))).alias("t"))
     total = files.count()
     counts = {r["t"]: r["count"] for r in seen.select(F.explode("t").alias("t")).groupBy("t").count().collect()}
     s = space(templates, counts, total, least)
+    templates = templates[:short]
     cue = r"(?<![\p{L}\p{N}])(?:" + "|".join(s.needed) + r")(?![\p{L}\p{N}])"
     lines = F.filter(F.split(F.lower("text"), "\n"), lambda x: x.rlike(cue))
     cued = files.where(F.lower("text").rlike(cue))
     some = cued.select("key", F.posexplode(lines).alias("line", "raw")).select("key", "line", F.lit(-1).alias("own"), _words(F.col("raw")).alias("run"))
-    some = some.unionByName(_windows(cued, templates, s, least))
+    some = some.unionByName(_windows(cued, templates, s, least)).unionByName(_whole(cued))
     word = some.select("key", "line", "own", F.explode("run").alias("term")).groupBy("key", "line", "own", "term").agg(F.count("*").alias("tf"))
-    version = [next((t for t in terms(text) if t.isdigit()), None) for _, text in templates]
+    version = [next((t for t in terms(text) if t.isdigit()), None) for _, text in (*templates, *texts)]
     marked = [(*v, int(v[2] == version[v[0]]), int(version[v[0]] is not None)) for v in s.vectors]
     vectors = F.broadcast(spark.createDataFrame(marked, "template int, license string, term string, part double, is_version int, versions int"))
     weights = F.broadcast(spark.createDataFrame(sorted(s.idf.items()), "term string, idf double"))
     weighed = word.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(s.other)))
     sizes = weighed.groupBy("key", "line", "own").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"), F.sum("tf").alias("words"))
-    met = weighed.join(vectors, "term").where("own in (-1, template)").groupBy("key", "line", "own", "template", "license")
+    # the whole texts are for whole files and headers
+    met = weighed.join(vectors, "term").where(f"own = -2 or (own in (-1, template) and template < {short})").groupBy("key", "line", "own", "template", "license")
     dots = met.agg(F.sum(F.col("w") * F.col("part")).alias("dot"), F.sum("is_version").alias("met"), F.max("versions").alias("versions")).where("met = versions")
     scored = dots.join(sizes, ["key", "line", "own"]).withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).where(F.col("score") >= least)
     by_line = scored.groupBy("key", "line", "own", "words").agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("best"))
     best = F.max(F.struct(F.col("best.score").alias("score"), F.col("best.t").alias("t"), F.col("best.license").alias("license")))
-    on_lines = F.coalesce(F.sum(F.when(F.col("own") < 0, F.col("words"))), F.lit(0))
+    on_lines = F.coalesce(F.sum(F.when(F.col("own") == -1, F.col("words"))), F.lit(0))
     places = F.collect_list(F.when(F.col("own") >= 0, F.sequence(F.col("line"), (F.col("line") + F.col("words") - 1).cast("int"))))
     in_windows = F.size(F.array_distinct(F.flatten(places)))
-    return by_line.groupBy("key").agg(best.alias("best"), F.greatest(on_lines, in_windows).alias("words")).select("key", "best.license", "best.score", "words")
+    in_whole = F.coalesce(F.max(F.when(F.col("own") == -2, F.col("words"))), F.lit(0))
+    return by_line.groupBy("key").agg(best.alias("best"), F.greatest(on_lines, in_windows, in_whole).alias("words")).select("key", "best.license", "best.score", "words")
 
 
 def directory(path: Column) -> Column:
@@ -155,8 +198,12 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), r"/+$", "")
 
 
+#: Parts into which the files of one directory are dealt when they look it up.
+SALTS = 32
+
+
 def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6, file_share: float = 0.2) -> DataFrame:
-    """Licence of every row of ``files(path, text, ...)``: its columns with license, score, origin, license_path.
+    """Licence of every row of ``files(path, text, ...)``: its columns but the text, with license, score, origin, license_path.
 
     ``origin``: ``own`` (a passage of the file states it), ``inherited`` (the nearest directory above
     the file, its own first, that holds a licence file) or ``none``. A licence file is one named
@@ -164,29 +211,32 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6, file_share:
     several in a directory the best score counts, then the first path.
 
     Directories are looked up once each, not once a file: distinct directories meet licensed ones
-    at each of their ancestors, and files meet their directory. Null text: states nothing. Null
-    path: inherits nothing, and its file gives nothing to others. Rows of one path are rows of their
-    own. Columns of ``files`` may have any names but the added ones. No rows: an empty table.
+    at each of their ancestors, and files meet their directory, dealt out in ``SALTS`` parts so that
+    one directory may hold most files. Texts are written once and move no more. Null text: states
+    nothing. Null path: inherits nothing, and its file gives nothing to others. Very long texts are
+    read whole. Rows of one path are rows of their own. No rows: an empty table. ValueError if a
+    column is named like an added one.
     """
-    whole = F.struct(*(F.col(f"`{c}`") for c in files.columns)).alias("_row")
-    staged = stage(files.select(whole, F.monotonically_increasing_id().alias("key")), "files")
-    path, text = F.col("_row.path").cast("string").alias("path"), F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text")
-    kept = staged.select("_row", "key", path, text)
-    found = stage(passages(kept.select("key", "text"), templates, least), "stated")
+    clash = {c.lower() for c in files.columns} & {"license", "score", "origin", "license_path"}
+    if clash:
+        raise ValueError(f"columns are named like added ones: {sorted(clash)}")
+    light = F.struct(*(F.col(f"`{c}`") for c in files.columns if c.lower() != "text")).alias("_row")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    kept = stage(files.select(light, F.col("path").cast("string").alias("path"), whole, F.monotonically_increasing_id().alias("key")), "files")
+    found = stage(passages(kept.select("key", "path", "text"), templates, least), "stated")
     rows = kept.select("_row", "path", "key", directory(F.col("path")).alias("_dir"), F.size(_words(F.col("text"))).alias("_n")).join(found, "key", "left")
     rows = stage(rows, "licensed")
-    drop(staged, found)
-    named = F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(r"^(licen[cs]e|copying|notice)(\.|$)")
-    givers = rows.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (named | (F.col("words") >= file_share * F.col("_n"))))
-    tops = givers.groupBy("_dir").agg(F.max("score").alias("score"))
-    give = givers.join(tops, ["_dir", "score"]).groupBy("_dir", "score").agg(F.min(F.struct("path", "license")).alias("g"))
-    give = give.select(F.col("_dir").alias("_above"), F.col("score").alias("_score"), F.col("g.path").alias("_path"), F.col("g.license").alias("_license"))
+    drop(kept, found)
+    givers = rows.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(LICENSE_FILE) | (F.col("words") >= file_share * F.col("_n"))))
+    best = F.min(F.struct((-F.col("score")).alias("score"), "path", "license")).alias("g")
+    give = givers.groupBy("_dir").agg(best).select(F.col("_dir").alias("_above"), (-F.col("g.score")).alias("_score"), F.col("g.path").alias("_path"), F.col("g.license").alias("_license"))
     dirs = rows.where(F.col("path").isNotNull()).select("_dir").distinct()
     steps = F.split("_dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
     near = dirs.select("_dir", F.posexplode(F.array_distinct(above)).alias("_depth", "_above")).join(give, "_above")
     near = near.groupBy("_dir").agg(F.max(F.struct("_depth", "_license", "_score", "_path")).alias("near"))
-    out = rows.join(near, "_dir", "left")
+    near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(near, ["_dir", "_salt"], "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     pick = lambda a, b: F.when(F.col("license").isNotNull(), F.col(a)).otherwise(F.col(f"near.{b}"))
     return out.select("_row.*", pick("license", "_license").alias("license"), pick("score", "_score").alias("score"), origin.alias("origin"), pick("path", "_path").alias("license_path"))

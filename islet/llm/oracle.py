@@ -9,7 +9,7 @@ _VERBS = "(?i)\\b(?:wrote|writes|said|schrieb|écrit|escribió|ha scritto)\\b[^:
 
 #: Lines, runs of lines, runs of five words, and the first turn that says them.
 QUOTATIONS = rf"""
-WITH m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH m AS MATERIALIZED (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 raw AS (SELECT id, conv_id, turn, unnest(a) AS raw, generate_subscripts(a, 1) AS line FROM (SELECT id, conv_id, turn, regexp_split_to_array(t, '\r\n|\n|\r') AS a FROM m)),
 q AS (SELECT id, conv_id, turn, line, raw, length(regexp_replace(regexp_extract(raw, '{_MARKS}'), '[ \t]', '', 'g')) AS level, regexp_replace(raw, '{_MARKS}', '') AS said FROM raw),
 ahead AS (SELECT *, lead(level) OVER w AS l1, lead(said) OVER w AS s1, lead(level, 2) OVER w AS l2, lead(said, 2) OVER w AS s2 FROM q WINDOW w AS (PARTITION BY id ORDER BY line)),
@@ -45,28 +45,28 @@ def licenses(least: float = 0.6, share: float = 0.2) -> str:
     return f"""
 WITH templates(template, license, text) AS (VALUES {values}),
 tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({words.format("text")}) AS term FROM templates) GROUP BY ALL),
-d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, '-'), doc_id // 1000, doc_id // 100, doc_id || '.txt') AS path,
-  concat_ws('/', coalesce(source, '-'), doc_id // 1000, doc_id // 100) AS dir FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, CASE WHEN doc_id IS NOT NULL THEN concat_ws('/', coalesce(source, '-'), doc_id // 1000, doc_id // 100, doc_id || '.txt') END AS path,
+  CASE WHEN doc_id IS NOT NULL THEN concat_ws('/', coalesce(source, '-'), doc_id // 1000, doc_id // 100) END AS dir FROM documents),
 size AS (SELECT count(*) AS n FROM d),
-df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({words.format("text")}) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT k, unnest({words.format("text")}) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
 idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), size),
 tv AS (SELECT template, license, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS part FROM tt JOIN idf USING (term)),
-l AS (SELECT doc_id, line, unnest({words.format("raw")}) AS term FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d)),
-w AS (SELECT doc_id, line, term, count(*) AS tf FROM l GROUP BY ALL),
-v AS (SELECT doc_id, line, term, tf, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM w LEFT JOIN idf USING (term), size),
-s AS (SELECT doc_id, line, sqrt(sum(w * w)) AS size, sum(tf) AS words FROM v GROUP BY ALL),
-c AS (SELECT doc_id, line, words, template, license, round(dot / size, 6) AS score
-  FROM (SELECT doc_id, line, template, license, sum(w * part) AS dot FROM v JOIN tv USING (term) GROUP BY ALL) JOIN s USING (doc_id, line)),
-b AS (SELECT doc_id, line, words, max({{'s': score, 't': -template, 'l': license}}) AS best FROM c WHERE score >= {least} GROUP BY ALL),
-o AS (SELECT doc_id, max(best) AS best, sum(words) AS words FROM b GROUP BY ALL),
-r AS (SELECT d.doc_id, path, dir, best.l AS license, best.s AS score, words, len({words.format("text")}) AS n FROM d LEFT JOIN o ON o.doc_id = d.doc_id),
-g AS (SELECT dir AS above, score, license, path AS file FROM r WHERE license IS NOT NULL AND words >= {share} * n
+l AS (SELECT k, line, unnest({words.format("raw")}) AS term FROM (SELECT k, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d)),
+w AS (SELECT k, line, term, count(*) AS tf FROM l GROUP BY ALL),
+v AS (SELECT k, line, term, tf, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM w LEFT JOIN idf USING (term), size),
+s AS (SELECT k, line, sqrt(sum(w * w)) AS size, sum(tf) AS words FROM v GROUP BY ALL),
+c AS (SELECT k, line, words, template, license, round(dot / size, 6) AS score
+  FROM (SELECT k, line, template, license, sum(w * part) AS dot FROM v JOIN tv USING (term) GROUP BY ALL) JOIN s USING (k, line)),
+b AS (SELECT k, line, words, max({{'s': score, 't': -template, 'l': license}}) AS best FROM c WHERE score >= {least} GROUP BY ALL),
+o AS (SELECT k, max(best) AS best, sum(words) AS words FROM b GROUP BY ALL),
+r AS (SELECT d.k, d.doc_id, path, dir, best.l AS license, best.s AS score, words, len({words.format("text")}) AS n FROM d LEFT JOIN o ON o.k = d.k),
+g AS (SELECT dir AS above, score, license, path AS file FROM r WHERE license IS NOT NULL AND dir IS NOT NULL AND words >= {share} * n
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, license) = 1),
-a AS (SELECT r.doc_id, max({{'depth': length(above), 'l': g.license, 's': g.score, 'f': file}}) AS near FROM r JOIN g ON above = '' OR r.dir = above OR starts_with(r.dir, above || '/') GROUP BY ALL)
+a AS (SELECT r.k, max({{'depth': length(above), 'l': g.license, 's': g.score, 'f': file}}) AS near FROM r JOIN g ON above = '' OR r.dir = above OR starts_with(r.dir, above || '/') GROUP BY ALL)
 SELECT r.doc_id, r.path, coalesce(r.license, near.l) AS license, coalesce(r.score, near.s) AS score,
   CASE WHEN r.license IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
   CASE WHEN r.license IS NOT NULL THEN r.path ELSE near.f END AS license_path
-FROM r LEFT JOIN a ON a.doc_id = r.doc_id
+FROM r LEFT JOIN a ON a.k = r.k
 """
 
 

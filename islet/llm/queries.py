@@ -40,11 +40,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
-def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: a source's thousands, then hundreds, by doc_id."""
-    docs = _documents(spark, sf_dir)
+def _tree(docs: DataFrame) -> DataFrame:
+    """``doc_id, path, text``; no path without a doc_id."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.expr("doc_id div 1000"), F.expr("doc_id div 100"), F.concat("doc_id", F.lit(".txt")))
-    return licenses.scan(docs.select("doc_id", path.alias("path"), "text")).drop("text")
+    return docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a source's thousands, then hundreds, by doc_id. Without a doc_id they have no path."""
+    return licenses.scan(_tree(_documents(spark, sf_dir)))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

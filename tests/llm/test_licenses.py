@@ -59,7 +59,9 @@ def test_nearest_directory_above_counts(spark):
     ]
     got = licenses.scan(spark.createDataFrame(files, SCHEMA)).collect()
     assert len(got) == len(files)
-    found = {(r["path"], r["text"]): (r["license"], r["origin"], r["license_path"]) for r in got}
+    text = {i: f[1] for i, f in enumerate(files)}
+    got = licenses.scan(spark.createDataFrame([(*f[:3], i) for i, f in enumerate(files)], SCHEMA)).collect()
+    found = {(r["path"], text[r["n"]]): (r["license"], r["origin"], r["license_path"]) for r in got}
     assert found["src/main.c", "int main"] == ("MIT", "inherited", "LICENSE")
     assert found["lib/x/y/z.c", "code here"] == ("Apache-2.0", "inherited", "lib/COPYING.txt")
     assert found["lib/x/deep.c", ""][0] == found["lib/x/deep.c", None][0] == "Apache-2.0"
@@ -93,7 +95,56 @@ def test_statements_inside_lines_and_across_them(spark):
         prose: None,
     }
     files = spark.createDataFrame([(None, text, None, i) for i, text in enumerate(want)], SCHEMA)
-    assert {r["text"]: r["license"] for r in licenses.scan(files).collect()} == want
+    assert {list(want)[r["n"]]: r["license"] for r in licenses.scan(files).collect()} == want
+
+
+def test_licence_files_and_headers_are_compared_whole(spark):
+    mit, isc, apache = (dict(licenses.TEXTS)[k] for k in ("MIT", "ISC", "Apache-2.0"))
+    wrapped = lambda text, mark: "\n".join(f"{mark} " + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    body = "\nint main() { return 0; }\n" * 40
+    want = {
+        ("a/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + mit): "MIT",
+        ("b/COPYING", "Copyright 2020 Jane Roe\n\n" + isc): "ISC",
+        ("c/x.py", "#!/usr/bin/env python\n" + wrapped(apache, "#") + body): "Apache-2.0",
+        ("d/x.c", "/*\n" + wrapped(mit, " *") + "\n */" + body): "MIT",
+        ("e/x.c", "/* Just a program\n * that says hello */" + body): None,
+        ("f/LICENSE", "All rights reserved."): None,
+    }
+    rows = [(path, text, None, i) for i, (path, text) in enumerate(want)]
+    got = {r["n"]: (r["license"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i][0] for i in range(len(rows))] == list(want.values())
+    assert got[0][1] > 0.9 and got[1][1] > 0.9
+
+
+def test_rows_without_an_id_give_nothing(spark):
+    """op6's tree, and its SQL, on rows without doc_id."""
+    import duckdb
+
+    from islet.llm import oracle
+    from islet.llm.queries import _tree
+
+    rows = [(None, "Released under the MIT License.", "web"), (7, "prose and prose", "web"), (8, None, "books"), (9, "Licensed under CC BY-NC 4.0.", None), (10, "x", None), (9, "same id", None)]
+    got = licenses.scan(_tree(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    found = sorted(map(str, (tuple(r) for r in got.select("doc_id", "path", "license", "origin", "license_path").collect())))
+    assert len(found) == 6 and sum("'MIT'" in r for r in found) == 1 and sum("CC-BY-NC" in r for r in found) >= 2
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows[:-1])
+    got = licenses.scan(_tree(spark.createDataFrame(rows[:-1], "doc_id long, text string, source string")))
+    columns = ["doc_id", "path", "license", "score", "origin", "license_path"]
+    want = c.sql(oracle.licenses()).project(", ".join(columns)).fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
+
+
+def test_one_directory_of_most_files_long_texts_and_names(spark):
+    mit = licenses.TEMPLATES[0][1]
+    files = [("hot/LICENSE", mit, "a", 0)] + [(f"hot/{i}.txt", "prose " * (50_000 if i == 1 else 3), "a", i) for i in range(1, 400)]
+    table = spark.createDataFrame(files, SCHEMA).withColumnRenamed("key", "_dir")
+    got = licenses.scan(table.repartition(3))
+    assert got.columns == ["path", "_dir", "n", "license", "score", "origin", "license_path"]
+    assert got.where("license = 'MIT' and license_path = 'hot/LICENSE'").count() == 400
+    with pytest.raises(ValueError, match="score"):
+        licenses.scan(table.withColumnRenamed("n", "Score"))
 
 
 def test_empty(spark):
