@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a staged table that a task holds before it writes them.
-ROW_GROUP = str(16 << 20)
+ROW_GROUP = str(8 << 20)
 
 _own: dict[str, str] = {}
 _staged: dict[str, dict] = {}
