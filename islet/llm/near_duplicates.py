@@ -119,7 +119,7 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in text_slices(batch, "text", 4 << 20):
+        for part in text_slices(batch, "text", 1 << 20):
             doc, element, weight = shingles(part.column(1))
             many = len(part.column(1))
             keys = band_keys(dart_signatures(doc, element, weight, many))
@@ -151,7 +151,7 @@ def _checked(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
         for batch in batches:
-            for part in text_slices(batch, "text_b", 2 << 20):
+            for part in text_slices(batch, "text_b", 1 << 20):
                 a, texts_a = part.column(0).to_numpy(), part.column(2)
                 doc, element, weight = shingles(part.column(3))
                 cuts, good = np.searchsorted(doc, np.arange(len(a) + 1)), np.zeros(len(a), bool)
@@ -175,7 +175,7 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataF
 
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in text_slices(batch, "text", 4 << 20):
+        for part in text_slices(batch, "text", 1 << 20):
             doc, element, weight = shingles(part.column(1))
             ends = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (element.view(np.int64), weight.astype(np.int32))]
