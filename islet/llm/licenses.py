@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -137,6 +138,20 @@ def _windows(files: DataFrame, templates, s: Space, least: float) -> DataFrame:
     return runs.where(bound >= (least * 0.999) ** 2).select("key", "line", "own", "run")
 
 
+def _able(s: Space, version: list[str | None], least: float) -> Column:
+    """Whether the terms ``seen`` in a text could make up a passage that reaches a template (exact, Cauchy-Schwarz)."""
+    shapes: list[dict] = [{"version": v, "parts": []} for v in version]
+    for k, _, t, p in s.vectors:
+        shapes[k]["parts"].append({"t": t, "p": p * p})
+    every = F.from_json(F.lit(json.dumps(shapes)), "array<struct<version: string, parts: array<struct<t: string, p: double>>>>")
+
+    def reached(x: Column) -> Column:
+        held = F.aggregate(x["parts"], F.lit(0.0), lambda a, y: a + F.when(F.array_contains("seen", y["t"]), y["p"]).otherwise(0.0))
+        return (x["version"].isNull() | F.array_contains("seen", x["version"])) & (held >= (least * 0.999) ** 2)
+
+    return F.arrays_overlap("seen", F.array(*(F.lit(t) for t in s.needed))) & F.exists(every, reached)
+
+
 def _whole(files: DataFrame) -> DataFrame:
     """``key, line, own, run``: the words of each licence file, and of each header (the comment lines at the top, two at least)."""
     text = F.col("text")
@@ -151,30 +166,26 @@ def _whole(files: DataFrame) -> DataFrame:
 def passages(files: DataFrame, templates=TEMPLATES, least: float = 0.6, texts=TEXTS) -> DataFrame:
     """``key, license, score, words``: the best template of each file's passages, where it reaches ``least``.
 
-    ``files(key, path, text)``. Licence files and headers are compared whole with the templates and
+    ``files(key, path, text, seen)`` with the template terms ``seen`` in each text. Licence files and headers are compared whole with the templates and
     the whole ``texts``. Statements stand in other places too: document frequencies of all template terms are counted over all files;
     terms of no template share one weight, that of a term of one file. Each line of the whole text
     is compared with each template, and each template with the windows of as many words, across
     lines, that begin with a term of it. What can't reach ``least`` is seen by its terms and left out
-    before its vector is made. A passage without the first number of a template, its version, doesn't
+    before its vector is made, whole texts first, by the terms that they hold anywhere. A passage without the first number of a template, its version, doesn't
     state it. ``words``: words on lines that reach ``least``, or in windows or whole files and headers
     that do if these are more.
     """
     spark = files.sparkSession
-    short, templates = len(templates), (*templates, *texts)
-    every = sorted({t for _, text in templates for t in terms(text)})
-    seen = files.select(F.array_distinct(F.array_intersect(_words(F.col("text")), F.array(*(F.lit(t) for t in every)))).alias("t"))
-    total = files.count()
-    counts = {r["t"]: r["count"] for r in seen.select(F.explode("t").alias("t")).groupBy("t").count().collect()}
-    s = space(templates, counts, total, least)
-    templates = templates[:short]
+    short, every = len(templates), (*templates, *texts)
+    counts = {r["t"]: r["count"] for r in files.select(F.explode("seen").alias("t")).groupBy("t").count().collect()}
+    s = space(every, counts, files.count(), least)
+    version = [next((t for t in terms(text) if t.isdigit()), None) for _, text in every]
+    able = stage(files.where(_able(s, version, least)).select("key", "path", "text"), "able")
     cue = r"(?<![\p{L}\p{N}])(?:" + "|".join(s.needed) + r")(?![\p{L}\p{N}])"
     lines = F.filter(F.split(F.lower("text"), "\n"), lambda x: x.rlike(cue))
-    cued = files.where(F.lower("text").rlike(cue))
-    some = cued.select("key", F.posexplode(lines).alias("line", "raw")).select("key", "line", F.lit(-1).alias("own"), _words(F.col("raw")).alias("run"))
-    some = some.unionByName(_windows(cued, templates, s, least)).unionByName(_whole(cued))
+    some = able.select("key", F.posexplode(lines).alias("line", "raw")).select("key", "line", F.lit(-1).alias("own"), _words(F.col("raw")).alias("run"))
+    some = some.unionByName(_windows(able, templates, s, least)).unionByName(_whole(able))
     word = some.select("key", "line", "own", F.explode("run").alias("term")).groupBy("key", "line", "own", "term").agg(F.count("*").alias("tf"))
-    version = [next((t for t in terms(text) if t.isdigit()), None) for _, text in (*templates, *texts)]
     marked = [(*v, int(v[2] == version[v[0]]), int(version[v[0]] is not None)) for v in s.vectors]
     vectors = F.broadcast(spark.createDataFrame(marked, "template int, license string, term string, part double, is_version int, versions int"))
     weights = F.broadcast(spark.createDataFrame(sorted(s.idf.items()), "term string, idf double"))
@@ -222,9 +233,11 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6, file_share:
         raise ValueError(f"columns are named like added ones: {sorted(clash)}")
     light = F.struct(*(F.col(f"`{c}`") for c in files.columns if c.lower() != "text")).alias("_row")
     whole = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    kept = stage(files.select(light, F.col("path").cast("string").alias("path"), whole, F.monotonically_increasing_id().alias("key")), "files")
-    found = stage(passages(kept.select("key", "path", "text"), templates, least), "stated")
-    rows = kept.select("_row", "path", "key", directory(F.col("path")).alias("_dir"), F.size(_words(F.col("text"))).alias("_n")).join(found, "key", "left")
+    made = files.select(light, F.col("path").cast("string").alias("path"), whole, F.monotonically_increasing_id().alias("key")).withColumn("_words", _words(F.col("text")))
+    marks = F.array(*(F.lit(t) for t in sorted({t for _, text in (*templates, *TEXTS) for t in terms(text)})))
+    kept = stage(made.select("_row", "path", "text", "key", F.array_intersect("_words", marks).alias("seen"), F.size("_words").alias("_n")), "files")
+    found = stage(passages(kept.select("key", "path", "text", "seen"), templates, least), "stated")
+    rows = kept.select("_row", "path", "key", directory(F.col("path")).alias("_dir"), "_n").join(found, "key", "left")
     rows = stage(rows, "licensed")
     drop(kept, found)
     givers = rows.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(LICENSE_FILE) | (F.col("words") >= file_share * F.col("_n"))))
