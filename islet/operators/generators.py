@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,70 +15,93 @@ def declarations(spark: SparkSession, n: int, partitions: int | None = None) ->
     return spark.range(0, n, 1, partitions).select(F.col("id").alias("u"), F.col("id").alias("v"))
 
 
-def _striped(spark: SparkSession, n: int, partitions: int | None) -> DataFrame:
-    """Vertices dealt out in turn, since the smaller have more pairs."""
-    parts = partitions or spark.sparkContext.defaultParallelism
-    return spark.range(0, parts, 1, parts).select(F.col("id").alias("part"), F.lit(parts).alias("parts"), F.lit(n).alias("n"))
+#: Edges that a block is expected to have. Blocks depend on n and p alone, so graphs don't depend on partitions.
+PER_BLOCK = 1 << 17
+
+
+def _blocks(spark: SparkSession, many: int, partitions: int | None) -> DataFrame:
+    """Numbers of the blocks, dealt out over partitions."""
+    return spark.range(0, many, 1, max(1, min(many, partitions or 4 * spark.sparkContext.defaultParallelism)))
 
 
 def _rows(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": u.astype(np.int64), "v": v.astype(np.int64)})
 
 
-def _exact(p: float, seed: int):
+def _subset(rng: np.random.Generator, size: int, many: int) -> np.ndarray:
+    """``many`` of the numbers below ``size``, each subset with the same odds, sorted."""
+    if many > size // 2:
+        return np.setdiff1d(np.arange(size), _subset(rng, size, size - many), assume_unique=True)
+    out = np.zeros(0, np.int64)
+    while len(out) < many:
+        out = np.union1d(out, rng.integers(0, size, many - len(out)))
+    return out
+
+
+def _pair(k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pair u < v < n at each place of the list of all pairs, by u and then v."""
+    place = k.astype(np.uint64)
+    side = np.longdouble(2 * n - 1)
+    u = np.floor((side - np.sqrt(np.maximum(side * side - 8 * place.astype(np.longdouble), 0))) / 2)
+    u = np.clip(u, 0, n - 2).astype(np.uint64)
+
+    def start(u: np.ndarray) -> np.ndarray:  # pairs before those of u: u (2n - u - 1) / 2, the even factor halved first
+        other = np.uint64(2 * n - 1) - u
+        even = u % np.uint64(2) == 0
+        return np.where(even, u // np.uint64(2) * other, u * (other // np.uint64(2)))
+
+    while (high := start(u) > place).any():
+        u = u - high.astype(np.uint64)
+    while (low := start(u + np.uint64(1)) <= place).any():
+        u = u + low.astype(np.uint64)
+    return u, u + np.uint64(1) + place - start(u)
+
+
+def _exact(n: int, p: float, seed: int, block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, parts, n in batch.itertuples(index=False):
-                us = np.arange(part, n, parts)
-                for at in range(0, len(us), 4096):
-                    block = us[at : at + 4096]
-                    left = n - 1 - block
-                    rng = np.random.default_rng([seed, int(block[0]) if len(block) else 0, 1])
-                    # the pairs of a block lie in a row; gaps between chosen ones are geometric
-                    total = int(left.sum())
-                    if p >= 1:
-                        chosen = np.arange(total)
-                    else:
-                        many = int(total * p + 10 * math.sqrt(total * p + 1) + 10)
-                        chosen = np.cumsum(rng.geometric(p, many)) - 1
-                        while len(chosen) and chosen[-1] < total:
-                            chosen = np.concatenate([chosen, chosen[-1] + np.cumsum(rng.geometric(p, many))])
-                        chosen = chosen[chosen < total]
-                    ends = np.cumsum(left)
-                    row = np.searchsorted(ends, chosen, "right")
-                    yield _rows(block[row], block[row] + 1 + chosen - (ends[row] - left[row]))
+            for number in batch["id"]:
+                size = min(block, n * (n - 1) // 2 - int(number) * block)
+                rng = np.random.default_rng([seed, int(number), 1])
+                chosen = _subset(rng, size, size if p >= 1 else int(rng.binomial(size, p)))
+                yield _rows(*_pair(chosen + int(number) * block, n))
 
     return run
 
 
 def exact(spark: SparkSession, n: int, p: float, seed: int, partitions: int | None = None) -> DataFrame:
-    """G(n, p): every pair is an edge with probability p, by skips, so the work is n plus the edges."""
+    """G(n, p): every pair is an edge with probability p.
+
+    The list of all pairs is cut into blocks of ``PER_BLOCK / p``; a block draws how many of its
+    pairs are edges and then which, so the work is the edges. The same n, p and seed give the same
+    graph on any number of partitions.
+    """
     _valid(n, p)
-    own = declarations(spark, n, partitions)
-    if p == 0:
+    own, pairs = declarations(spark, n, partitions), n * (n - 1) // 2
+    if p == 0 or not pairs:
         return own
-    return own.unionByName(_striped(spark, n, partitions).mapInPandas(_exact(p, seed), "u long, v long"))
+    block = pairs if p * pairs <= PER_BLOCK else max(1, int(PER_BLOCK / p))
+    return own.unionByName(_blocks(spark, -(-pairs // block), partitions).mapInPandas(_exact(n, p, seed, block), "u long, v long"))
 
 
-def _drawn(p: float, seed: int, distinct: bool):
+def _drawn(n: int, p: float, seed: int, distinct: bool, block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, parts, n in batch.itertuples(index=False):
-                us = np.arange(part, n, parts)
-                for at in range(0, len(us), 4096):
-                    block = us[at : at + 4096]
-                    left = n - 1 - block
-                    rng = np.random.default_rng([seed, int(block[0]) if len(block) else 0, 2])
-                    many = rng.binomial(left, p)
-                    row = np.repeat(np.arange(len(block)), many)
-                    step = (rng.random(len(row)) * left[row]).astype(np.int64)
-                    if distinct:
-                        pairs = {(int(a), int(b)) for a, b in zip(row, step, strict=True)}
-                        for i in np.flatnonzero(np.bincount([a for a, _ in pairs], minlength=len(block)) < many):
-                            own = {(int(i), int(b)) for b in rng.permutation(left[i])[: many[i]]}
-                            pairs = {x for x in pairs if x[0] != i} | own
-                        row, step = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
-                    yield _rows(block[row], block[row] + 1 + step)
+            for number in batch["id"]:
+                us = np.arange(int(number) * block, min(n, (int(number) + 1) * block))
+                left = n - 1 - us
+                rng = np.random.default_rng([seed, int(number), 2])
+                many = rng.binomial(left, p)
+                if distinct:
+                    for u, size, k in zip(us, left, many, strict=True):
+                        if k:
+                            step = _subset(rng, int(size), int(k))
+                            yield _rows(np.full(len(step), u), u + 1 + step)
+                    continue
+                ends = np.cumsum(many)
+                for at in range(0, int(ends[-1]), 8 * PER_BLOCK):  # one vertex may draw more than fits
+                    row = np.searchsorted(ends, np.arange(at, min(at + 8 * PER_BLOCK, int(ends[-1]))), "right")
+                    yield _rows(us[row], us[row] + 1 + (rng.random(len(row)) * left[row]).astype(np.int64))
 
     return run
 
@@ -88,11 +110,15 @@ def monte_carlo(spark: SparkSession, n: int, p: float, seed: int, partitions: in
     """Each vertex draws a binomial number of larger neighbours, then the neighbours with replacement.
 
     Fast and approximate: an edge may come twice, and p = 1 need not give the complete graph.
-    ``distinct`` draws without replacement, which makes it G(n, p).
+    ``distinct`` draws without replacement, which makes it G(n, p); the draws of one vertex are then
+    held together. The same arguments give the same graph on any number of partitions.
     """
     _valid(n, p)
     own = declarations(spark, n, partitions)
-    return own.unionByName(_striped(spark, n, partitions).mapInPandas(_drawn(p, seed, distinct), "u long, v long"))
+    if not n:
+        return own
+    block = max(1, min(n, int(PER_BLOCK / max(p * n, 1.0))))
+    return own.unionByName(_blocks(spark, -(-n // block), partitions).mapInPandas(_drawn(n, p, seed, distinct, block), "u long, v long"))
 
 
 def _valid(n: int, p: float) -> None:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from islet.operators.components import LOCAL_EDGES
@@ -85,15 +85,82 @@ def _roots(least: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     return now.select("cu", F.col("to").alias("root"))
 
 
+def phased(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids of the edges (u, v), u < v, the root of each, and the edges picked in each phase."""
+    order = np.lexsort((v, u))  # edges are numbered in their order
+    u, v = u[order], v[order]
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, picked = np.arange(len(ids)), []
+    left = np.arange(len(u))
+    a, b = ends[: len(u)], ends[len(u) :]
+    while True:
+        x, y = root[a[left]], root[b[left]]
+        left, x, y = (k[x != y] for k in (left, x, y))
+        if not len(left):
+            return ids, ids[root], picked
+        least = np.full(len(ids), len(u), np.int64)
+        np.minimum.at(least, x, left)
+        np.minimum.at(least, y, left)
+        has = np.flatnonzero(least < len(u))
+        edge = least[has]
+        p, q = root[a[edge]], root[b[edge]]
+        head = np.arange(len(ids))
+        head[has] = np.where(p == has, q, p)
+        core = has[least[head[has]] == edge]
+        head[core] = core
+        while not np.array_equal(up := head[head], head):
+            head = up
+        label = np.arange(len(ids))
+        label[has] = a[least[head[has]]]  # the smaller end of the core's edge
+        root = label[root]
+        chosen = np.unique(edge)
+        picked.append((u[chosen], v[chosen]))
+
+
+def _phased(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[b.column(i).to_numpy() for i in range(2)] for b in batches]
+    if parts:
+        ids, root, picked = phased(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        names = ["phase", "a", "b"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids), pa.array(root)], names)
+        for k, (lo, hi) in enumerate(picked):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), k + 1, np.int32)), pa.array(lo), pa.array(hi)], names)
+
+
+def _merged_in_one(once: DataFrame, edges: DataFrame) -> Merged:
+    """What ``merge`` returns, by one task."""
+    found, seen = once.coalesce(1).mapInArrow(_phased, "phase int, a long, b long"), Observation()
+    found = stage(found.observe(seen, F.max("phase").alias("last")), "phases")
+    roots = found.where("phase = 0").select(F.col("a").alias("id"), F.col("b").alias("root"))
+    comps = roots.groupBy("root").agg(F.min("id").alias("comp"))
+    joined = roots.join(comps, "root").select("id", "comp", "root")
+    alone = vertices(edges).select("id").join(roots, "id", "left_anti").select("id", F.col("id").alias("comp"), F.col("id").alias("root"))
+    last = seen.get["last"]
+    return Merged(joined.unionByName(alone), found.where("phase > 0").select("phase", F.col("a").alias("lo"), F.col("b").alias("hi")), last + 1 if last else 0)
+
+
+def phase_metrics(merged: Merged) -> DataFrame:
+    """``phase, picked, components``: forest edges of each phase, and the components with neighbours that are left after it."""
+    picked = merged.forest.groupBy("phase").agg(F.count("*").alias("picked"))
+    joined = merged.forest.select(F.explode(F.array("lo", "hi")).alias("id")).distinct().count()
+    later = picked.select(F.col("phase").alias("_p"), F.col("picked").alias("_n"))
+    upto = picked.join(later, F.col("_p") <= F.col("phase")).groupBy("phase", "picked").agg(F.sum("_n").alias("_all"))
+    return upto.select("phase", "picked", (F.lit(joined) - F.col("_all")).cast("long").alias("components"))
+
+
 def merge(edges: DataFrame, local: int = LOCAL_EDGES) -> Merged:
     """Components of ``edges(u, v)`` with roots, forest and phases; ``comp`` is the least id of a component.
 
     Isolated vertices never enter the phases. Phases count one that finds nothing to merge at the
     end, and are 0 where no edge joins two vertices. Edges inside a component are dropped as soon as
-    it has formed.
+    it has formed. At most ``local`` edges, counted first, are merged by one task.
     """
-    spark = edges.sparkSession
-    live = stage(oriented(edges).select(F.col("u").alias("lo"), F.col("v").alias("hi"), F.col("u").alias("clo"), F.col("v").alias("chi")), "live")
+    spark, seen = edges.sparkSession, Observation()
+    once = stage(oriented(edges).observe(seen, F.count("*").alias("n")), "edges")
+    if seen.get["n"] <= local:
+        return _merged_in_one(once, edges)
+    live = stage(once.select(F.col("u").alias("lo"), F.col("v").alias("hi"), F.col("u").alias("clo"), F.col("v").alias("chi")), "live")
+    drop(once)
     ids = stage(vertices(edges).select("id"), "vertices")
     labels = ids.select("id", F.col("id").alias("root"))
     forest = spark.createDataFrame([], "phase int, lo long, hi long")
@@ -106,10 +173,15 @@ def merge(edges: DataFrame, local: int = LOCAL_EDGES) -> Merged:
         roots = stage(_roots(least, local), "roots")
         forest = forest.unionByName(least.select(F.lit(phase).alias("phase"), "lo", "hi").distinct())
         to = roots.select(F.col("cu").alias("root"), F.col("root").alias("_new"))
+        last = labels
         labels = stage(labels.join(to, "root", "left").select("id", F.coalesce("_new", "root").alias("root")), "labels")
+        if phase > 1:
+            drop(last)
         a, b = (roots.select(F.col("cu").alias(c), F.col("root").alias(f"_{c}")) for c in ("clo", "chi"))
         # an end whose component picked no edge keeps its label; edges with such ends are gone already
+        old = live
         live = stage(live.join(a, "clo").join(b, "chi").where("_clo <> _chi").select("lo", "hi", F.col("_clo").alias("clo"), F.col("_chi").alias("chi")), "live")
+        drop(old, roots)
     else:
         raise RuntimeError("phases did not end")
     comps = labels.groupBy("root").agg(F.min("id").alias("comp"))

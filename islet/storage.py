@@ -23,12 +23,14 @@ _staged: dict[str, dict] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    On a cluster it is ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a
-    temporary folder is made once per application.
+    On a cluster it is ``spark.checkpoint.dir``, and RuntimeError says so where that is unset. On one
+    machine without it a temporary folder is made once per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="islet-")
@@ -59,6 +61,17 @@ def stage(df: DataFrame, name: str, compression: str = "zstd", **options: str) -
     return table
 
 
+def gather(tables: list[DataFrame]) -> DataFrame:
+    """The rows of staged tables of one schema, as one scan of all their files, which go with its last reader."""
+    first = tables[0]
+    paths = [t._islet_path for t in tables]
+    out = first.sparkSession.read.schema(first.schema).parquet(*paths)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    mine = _staged[first.sparkSession.sparkContext.applicationId]
+    mine |= {p: first.sparkSession.sparkContext._jvm.java.lang.ref.WeakReference(index) for p in paths}
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete staged tables that no plan can read any more."""
     mine = _staged.get(spark.sparkContext.applicationId, {})

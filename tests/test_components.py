@@ -98,7 +98,7 @@ def test_search_from_chosen_roots(spark):
 def test_search_says_when_it_is_too_deep(spark, monkeypatch):
     monkeypatch.setattr(search, "MOST_LEVELS", 3)
     with pytest.raises(RuntimeError):
-        search.levels(table(spark, PATH), spark.createDataFrame([(1,)], "id long"))
+        search.levels(table(spark, PATH), spark.createDataFrame([(1,)], "id long"), 0)
 
 
 def test_edge_algebra(spark):
@@ -141,3 +141,79 @@ def test_generators(spark, make):
     assert make(spark, 5, 0.0, 1).where("u <> v").isEmpty()
     with pytest.raises(ValueError):
         make(spark, 5, 1.5, 1)
+
+
+@pytest.mark.parametrize("make", [generators.exact, generators.monte_carlo])
+def test_graphs_do_not_depend_on_partitions(spark, make, monkeypatch):
+    monkeypatch.setattr(generators, "PER_BLOCK", 50)
+    want = sorted(map(tuple, make(spark, 300, 0.02, 9, 1).collect()))
+    assert len(want) > 300 + 600
+    for parts in (4, 7):
+        assert sorted(map(tuple, make(spark, 300, 0.02, 9, parts).collect())) == want
+
+
+def test_tiny_odds_and_pairs_of_many_vertices(spark):
+    import numpy as np
+
+    for n, p in ((1 << 32, 1e-18), (1 << 32, 1e-19), (3, 1e-300)):
+        block = generators._exact(n, p, 1, n * (n - 1) // 2)
+        import pandas as pd
+
+        for rows in block(iter([pd.DataFrame({"id": [0]})])):
+            assert ((rows["u"] >= 0) & (rows["u"] < rows["v"]) & (rows["v"] < n)).all()
+    for n in (2, 3, 10, 101):
+        u, v = generators._pair(np.arange(n * (n - 1) // 2), n)
+        assert list(zip(u.tolist(), v.tolist())) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    n = 1 << 32
+    ends = [(0, 1), (0, n - 1), (1, 2), (n // 2, n - 1), (n - 3, n - 2), (n - 2, n - 1)]
+    u, v = generators._pair(np.array([a * (2 * n - a - 1) // 2 + b - a - 1 for a, b in ends]), n)
+    assert list(zip(u.tolist(), v.tolist())) == ends
+
+
+def boruvka(rows):
+    """Root of each vertex, edges picked by phase, and phases, one merge after the other."""
+    edges = sorted({(min(r), max(r)) for r in rows if r[0] != r[1]})
+    root, picked = {x: x for r in rows for x in r}, []
+    while True:
+        least = {}
+        for a, b in edges:
+            if root[a] != root[b]:
+                for c in (root[a], root[b]):
+                    least.setdefault(c, (a, b))
+        if not least:
+            return root, picked, len(picked) + 1 if picked else 0
+        picked.append(sorted(set(least.values())))
+        to = {}
+        for c, (a, b) in least.items():
+            other = root[b] if root[a] == c else root[a]
+            to[c] = c if least[other] == (a, b) else other
+        new = {}
+        for c in least:
+            top = c
+            while to[top] != top:
+                top = to[top]
+            new[c] = least[top][0]
+        root = {x: new.get(c, c) for x, c in root.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_roots_and_phases_match_a_plain_computation(spark, seed):
+    rows = [tuple(r) for r in generators.exact(spark, 120, (0.8, 1.5, 4.0)[seed - 1] / 120, seed).collect()]
+    root, picked, phases = boruvka(rows)
+    for local in (merging.LOCAL_EDGES, 0) if seed == 2 else (merging.LOCAL_EDGES,):
+        got = merging.merge(table(spark, rows), local)
+        assert got.phases == phases and {r["id"]: r["root"] for r in got.labels.collect()} == root
+        assert sorted(map(tuple, got.forest.collect())) == [(k + 1, a, b) for k, own in enumerate(picked) for a, b in own]
+    metrics = sorted(map(tuple, merging.phase_metrics(got).collect()))
+    left = len({x for own in picked for e in own for x in e})
+    for k, own in enumerate(picked):
+        left -= len(own)
+        assert metrics[k] == (k + 1, len(own), left)
+
+
+def test_search_in_one_task_and_spread_agree(spark):
+    e = generators.exact(spark, 200, 0.9 / 200, 4).cache()
+    want = sorted(map(tuple, search.levels(e, local=0).collect()))
+    assert sorted(map(tuple, search.levels(e).collect())) == want
+    counts = {r["id"]: r["children"] for r in search.children(search.levels(e)).collect()}
+    assert all(counts[i] == sum(1 for w in want if w[2] == i != w[0]) for i in counts) and len(counts) == 200
