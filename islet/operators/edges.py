@@ -65,5 +65,6 @@ def sampled(edges: DataFrame, p: float, seed: int) -> DataFrame:
     """Each undirected edge with probability ``p``; the same edges in every run, whatever the partitioning."""
     if not 0 <= p <= 1:
         raise ValueError("p must be from 0 to 1")
-    draw = F.shiftrightunsigned(F.xxhash64("u", "v", F.lit(seed).cast("long")), 11) / F.lit(float(1 << 53))
+    digits = F.substring(F.md5(F.concat_ws(" ", "u", "v", F.lit(int(seed)))), 1, 13)  # 52 bits
+    draw = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
     return oriented(edges).where(draw < p)

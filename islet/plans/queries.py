@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from islet.functions.scalars import machine_hash
 from islet.operators import census, components, edges, generators, merging, search
-from islet.plans import reports
+from islet.plans import experiments, reports
 from islet.sources import edge_files, results
 from islet.storage import new_path, stage
 
@@ -106,12 +106,82 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _generated(make, n: int = 4096, p: float = 0.002, seed: int = 11):
+    """What holds of every graph that a generator makes."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return census.stats(_listing(stage(make(spark, n, p, seed), "generated")))
+        rows = stage(make(spark, n, p, seed), "generated")
+        pairs, mean = rows.where("u <> v"), p * n * (n - 1) / 2
+        facts = pairs.agg(F.coalesce(F.bool_and(F.expr(f"u >= 0 and u < v and v < {n}")), F.lit(True)).alias("in_order"), (F.abs(F.count("*") - mean) < 5 * mean**0.5).alias("as_many_as_expected"), F.count("*").alias("_m"))
+        distinct = pairs.distinct().agg(F.count("*").alias("_d"))
+        own = rows.where("u = v").agg(F.countDistinct("u").alias("declared"), F.count("*").alias("declarations"))
+        again = make(spark, n, p, seed, 3).exceptAll(rows).agg((F.count("*") == 0).alias("same_on_other_partitions"))
+        whole = facts.crossJoin(distinct).crossJoin(own).crossJoin(again)  # one row each
+        return whole.select("declared", "declarations", "in_order", "as_many_as_expected", "same_on_other_partitions", (F.col("_d") == F.col("_m")).alias("all_distinct"))
 
     return run
 
 
+def _summary_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of run summaries of two graphs, by two engines."""
+    top = new_path(spark, "summaries")
+    for engine in ("merging", "search"):
+        for name in ("order_part", "nation_customer"):
+            results.write_summary(census.summary(graph(spark, sf_dir, name), engine), f"{top}/{engine}.{name}")
+    return top
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(results.read_summaries(spark, _summary_files(spark, sf_dir), "*.csv")).select("n", "f", "cl", "cm", "cu", "cv", F.col("p").isNotNull().alias("merging"))
+
+
+def _roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = results.read_summaries(spark, _summary_files(spark, sf_dir))
+    path = new_path(spark, "roll-up")
+    results.write_roll_up(rows.unionByName(rows), path)
+    back = results.read_summaries(spark, path)
+    return _rounded(back).groupBy("n", "f", "cl", "cm", "cu", "cv").agg(F.count("*").alias("rows"))
+
+
+def _scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.scatter(results.read_summaries(spark, _summary_files(spark, sf_dir)), "n", ("cm", "f")).select("x", F.round("y", 6).alias("y"), "of")
+
+
+def _first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "listings")
+    for name in ("nation_customer", "customer_order"):
+        results.write_listing(_listing(graph(spark, sf_dir, name)).coalesce(1), f"{path}/{name}")
+    return results.first_lines(spark, path, 2).select("line", "value")
+
+
+def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "dump")
+    edge_files.write_adjacency(edges.adjacency(graph(spark, sf_dir, "nation_customer")), path)
+    return spark.read.text(path)
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True if a labelling passes its checks and a wrong one does not."""
+    e = graph(spark, sf_dir, "nation_customer")
+    labels = components.labels(e)
+    census.checked(labels, e)
+    try:
+        census.checked(labels.withColumn("comp", F.col("id")), e)
+    except AssertionError as wrong:
+        return spark.createDataFrame([(True, str(wrong))], "right boolean, wrong string")
+    return spark.createDataFrame([(True, None)], "right boolean, wrong string")
+
+
+def _experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generate, run, write and roll up a small sweep; graphs are random, so only what holds of all is returned."""
+    sweep = reports.sweep(spark, range(5, 6), 1).where("regime in ('1', 'L')")
+    rows = experiments.run(spark, sweep, ("stars", "merging"), (1, 3))
+    path = new_path(spark, "sweep")
+    experiments.write(rows, path)
+    back = experiments.rolled(spark, path, engine="merging")
+    agree = F.countDistinct("f", "cl", "cu") == 1
+    return back.groupBy("sampler", "regime", F.col("n").cast("long").alias("n")).agg(F.count("*").alias("runs"), agree.alias("agree"), F.bool_and(F.abs(F.col("f") * F.col("cm") - F.col("n")) < 1e-6).alias("adds_up"))
+
+
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(merging.merge(graph(spark, sf_dir, g)).phases, g) for g in ("order_part", "nation_customer")], "p long, graph string")
 
@@ -157,7 +227,21 @@ QUERIES = {
     "mwoe_labels": lambda s, d: merging.merge(graph(s, d, "order_part_45")).labels.select("id", "comp"),
     "mwoe_roots": lambda s, d: merging.merge(graph(s, d, "order_part")).labels,
     "mwoe_phases": _phases,
-    "spanning_forest": lambda s, d: merging.merge(graph(s, d, "order_part")).forest,
+    "spanning_forest": lambda s, d: merging.merge(graph(s, d, "order_part")).forest.select("lo", "hi"),
+    "spanning_forest_distributed": lambda s, d: merging.merge(graph(s, d, "order_part"), 0).forest.select("lo", "hi"),
+    "mwoe_labels_distributed": lambda s, d: merging.merge(graph(s, d, "order_part_45"), 0).labels.select("id", "comp"),
+    "mwoe_phase_metrics": lambda s, d: merging.phase_metrics(merging.merge(graph(s, d, "order_part"))).where("phase = 1").select("picked", "components"),
+    "cc_labels_distributed": lambda s, d: components.labels(graph(s, d, "order_part_45"), 0),
+    "bfs_levels_distributed": lambda s, d: search.levels(graph(s, d, "order_part"), local=0).select("id", "root", "level"),
+    "bfs_children": lambda s, d: search.children(search.levels(graph(s, d, "order_part"))),
+    "vertex_declarations": lambda s, d: generators.declarations(s, 1000),
+    "graph_dump": _dumped,
+    "labels_checked": _checked,
+    "summary_files": _summaries,
+    "summary_roll_up": _roll_up,
+    "summary_scatter": _scatter,
+    "first_lines_of_files": _first_lines,
+    "experiment_roll_up": _experiments,
     "spanning_forest_size": _on("order_part_45", _forest_size),
     "bfs_levels": lambda s, d: search.levels(graph(s, d, "order_part")).select("id", "root", "level"),
     "bfs_parent": lambda s, d: search.levels(graph(s, d, "order_part")).select("id", "parent"),
@@ -167,7 +251,7 @@ QUERIES = {
     "component_listing_file": _listing_file,
     "edges_sampled": lambda s, d: edges.sampled(graph(s, d, "part_supplier"), 0.25, 3),
     "forest_is_spanning": _forest_spans,
-    "generator_sweep": lambda s, d: reports.sweep(s).groupBy("regime", "sampler").agg(F.count("*").alias("graphs"), F.max("n").alias("largest")),
+    "generator_sweep": lambda s, d: reports.sweep(s).groupBy("regime", "sampler", "n").agg(F.count("*").alias("graphs"), F.round(F.max(F.col("p") * F.col("n")), 9).alias("degree")),
     "machine_hash": _machine_hash,
     "scaling_regression": _regression,
     "text_parse": _text_parse,
@@ -176,6 +260,12 @@ QUERIES = {
     "er_generate_mc": _generated(generators.monte_carlo),
 }
 
+#: Each vertex's least neighbour on the level before.
+_PARENTS = ", t AS (SELECT b.id, coalesce(min(a.id), b.id) AS parent FROM b LEFT JOIN s ON s.u = b.id AND b.level > 0 LEFT JOIN b a ON a.id = s.v AND a.level = b.level - 1 GROUP BY b.id)"
+#: Edges whose ends no path of smaller edges joins.
+_FOREST = """f AS (SELECT u AS lo, v AS hi FROM s WHERE u < v),
+r(lo, hi, id) AS (SELECT lo, hi, lo FROM f UNION SELECT r.lo, r.hi, s.v FROM r JOIN s ON s.u = r.id WHERE least(s.u, s.v) < r.lo OR (least(s.u, s.v) = r.lo AND greatest(s.u, s.v) < r.hi))
+SELECT lo, hi FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.lo = f.lo AND r.hi = f.hi AND r.id = f.hi)"""
 _ROWS = "SELECT u, v, count(*) AS n FROM"
 ORACLE = {
     "edges_reversed": f"SELECT v AS u, u AS v FROM ({GRAPHS['order_part']})",
@@ -207,7 +297,28 @@ ORACLE = {
     "cc_summary": _with("order_part_45", f"{_SIZES} {_STATS}"),
     "component_listing_file": _with("order_part", _SIZES + " SELECT iC, nC FROM c"),
     "forest_is_spanning": _with("order_part", _SIZES + " SELECT iC, nC FROM c"),
-    "generator_sweep": "SELECT regime, sampler, CAST(33 AS BIGINT) AS graphs, CAST(1048576 AS BIGINT) AS largest FROM (VALUES ('1-'), ('1'), ('1+'), ('L-'), ('L'), ('L+')) r(regime), (VALUES ('exact'), ('monte_carlo')) s(sampler)",
+    "generator_sweep": """SELECT regime, sampler, CAST(2 ** e AS BIGINT) AS n, CAST(3 AS BIGINT) AS graphs,
+round(CASE WHEN regime[1] = 'L' THEN e * ln(2) ELSE 1 END * CASE regime[2:] WHEN '-' THEN 0.8::DOUBLE WHEN '+' THEN 1.2::DOUBLE ELSE 1 END, 9) AS degree
+FROM (VALUES ('1-'), ('1'), ('1+'), ('L-'), ('L'), ('L+')) r(regime), (VALUES ('exact'), ('monte_carlo')) s(sampler), range(10, 21) t(e)""",
+    "spanning_forest": _with("order_part", _FOREST),
+    "spanning_forest_distributed": _with("order_part", _FOREST),
+    "mwoe_labels_distributed": _with("order_part_45", _LABELS + " SELECT id, comp FROM l"),
+    "mwoe_phase_metrics": _with("order_part", _LEAST + ", d AS (SELECT DISTINCT lo, hi FROM m) SELECT (SELECT count(*) FROM d) AS picked, (SELECT count(*) FROM m) - (SELECT count(*) FROM d) AS components"),
+    "cc_labels_distributed": _with("order_part_45", _LABELS + " SELECT id, comp FROM l"),
+    "bfs_levels_distributed": _with("order_part", _LEVELS + " SELECT b.id, l.comp AS root, b.level FROM b JOIN l ON b.id = l.id"),
+    "bfs_children": _with("order_part", _LEVELS + _PARENTS + " SELECT x.id, (SELECT count(*) FROM t WHERE t.parent = x.id AND t.id <> x.id) AS children FROM x"),
+    "bfs_subtree": _with("customer_order", _LEVELS + _PARENTS + ", a(id, above) AS (SELECT id, id FROM t UNION SELECT a.id, t.parent FROM a JOIN t ON t.id = a.above) SELECT above AS id, count(*) AS subtree FROM a GROUP BY above"),
+    "edges_sampled": f"SELECT u, v FROM (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM ({GRAPHS['part_supplier']}) WHERE u <> v) WHERE CAST('0x' || substr(md5(u || ' ' || v || ' 3'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < 0.25",
+    "vertex_declarations": "SELECT range AS u, range AS v FROM range(1000)",
+    "graph_dump": _with("nation_customer", "t AS (SELECT u, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY v) AS n FROM s GROUP BY u) SELECT id || ': ' || coalesce(n, '') AS value FROM x LEFT JOIN t ON u = id"),
+    "labels_checked": "SELECT true AS right, 'ends of an edge agree' AS wrong",
+    "summary_files": f"SELECT s.*, merging FROM ({_with('order_part', f'{_SIZES} {_STATS}')}) s, (VALUES (true), (false)) m(merging) UNION ALL SELECT s.*, merging FROM ({_with('nation_customer', f'{_SIZES} {_STATS}')}) s, (VALUES (true), (false)) m(merging)",
+    "summary_roll_up": f"SELECT s.*, CAST(2 AS BIGINT) AS rows FROM ({_with('order_part', f'{_SIZES} {_STATS}')}) s UNION ALL SELECT s.*, CAST(2 AS BIGINT) AS rows FROM ({_with('nation_customer', f'{_SIZES} {_STATS}')}) s",
+    "summary_scatter": f"WITH s AS (SELECT * FROM ({_with('order_part', f'{_SIZES} {_STATS}')}) UNION ALL SELECT * FROM ({_with('nation_customer', f'{_SIZES} {_STATS}')})) SELECT n AS x, y, of FROM (SELECT n, cm AS y, 'cm' AS of FROM s UNION ALL SELECT n, CAST(f AS DOUBLE), 'f' FROM s), range(2)",
+    "first_lines_of_files": f"SELECT CAST(1 AS BIGINT) AS line, 'iC,nC' AS value FROM range(2) UNION ALL SELECT 2, (SELECT iC || ',' || nC FROM ({_with('nation_customer', _SIZES + ' SELECT iC, nC FROM c')}) ORDER BY iC LIMIT 1) UNION ALL SELECT 2, (SELECT iC || ',' || nC FROM ({_with('customer_order', _SIZES + ' SELECT iC, nC FROM c')}) ORDER BY iC LIMIT 1)",
+    "experiment_roll_up": "SELECT sampler, regime, CAST(32 AS BIGINT) AS n, CAST(2 AS BIGINT) AS runs, true AS agree, true AS adds_up FROM (VALUES ('1'), ('L')) r(regime), (VALUES ('exact'), ('monte_carlo')) s(sampler)",
+    "er_generate_lv": "SELECT CAST(4096 AS BIGINT) AS declared, CAST(4096 AS BIGINT) AS declarations, true AS in_order, true AS as_many_as_expected, true AS same_on_other_partitions, true AS all_distinct",
+    "er_generate_mc": "SELECT CAST(4096 AS BIGINT) AS declared, CAST(4096 AS BIGINT) AS declarations, true AS in_order, true AS as_many_as_expected, true AS same_on_other_partitions, false AS all_distinct",
     "machine_hash": "SELECT CAST(o_orderkey AS BIGINT) AS v, CAST(((CAST(1234567890123456789 AS HUGEINT) * o_orderkey + 987654321987654321) % 2305843009213693951) % 32 AS BIGINT) AS machine FROM orders",
     "scaling_regression": """WITH p AS (SELECT o_custkey % 4 AS k, count(*) AS n, sum(o_totalprice) AS cost FROM orders GROUP BY o_custkey)
 SELECT CAST(k AS BIGINT) AS k, count(*) AS points, round(regr_slope(cost, n), 3) AS slope, round(regr_intercept(cost, n), 3) AS intercept, round(regr_r2(cost, n), 3) AS r2,

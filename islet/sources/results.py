@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEARCH_COLUMNS = ("n", "k", "M", "r", "Tp", "Tc", "f", "cl", "cm", "cu", "cv")
@@ -44,6 +44,16 @@ def read_summaries(spark: SparkSession, path: str, pattern: str | None = None) -
     return numbers.select("file", *out)
 
 
+def first_lines(spark: SparkSession, path: str, many: int) -> DataFrame:
+    """``file, line, value``: the first lines, counted from 1, of every file below ``path``.
+
+    Only the first block of a file is looked at for lines, so ``many`` must be few.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    first = Window.partitionBy("file").orderBy("_row")
+    return rows.where("_at = 0").withColumn("line", F.row_number().over(first).cast("long")).where(F.col("line") <= many).select("file", "line", "value")
+
+
 def roll_up(summaries: DataFrame) -> DataFrame:
     """Distinct rows in the order of n, then k, as numbers."""
     return summaries.select(*MERGING_COLUMNS).distinct().orderBy("n", "k", *MERGING_COLUMNS[2:])
