@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import compress, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,11 @@ ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]
 #: Words to which the memo doesn't apply: odd characters, or white space next to the space or line break before or after.
 UNUSUAL = re.compile(r"[^\0\x01\t\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]|\A[\0\x01]?\s|\s\Z|\A[\0\x01]?\Z")
 #: Words that the memo may hold before those seen once are forgotten, and pre-tokens of a long text handled at a time.
-MEMO, AT_ONCE = 500_000, 400_000
+MEMO, AT_ONCE = 400_000, 400_000
 
 
 #: Bytes of text encoded together.
-WORK_BYTES = 5 << 20
+WORK_BYTES = 3 << 20
 
 
 class Encoder:
@@ -78,7 +78,7 @@ class Encoder:
         self._restart()
 
     def _restart(self) -> None:
-        self.index: dict[str, int] = {}
+        self.known, self.count = pa.array([], pa.large_string()), 0
         self.seen = np.zeros(1 << 14, np.int32)
         self.pool = np.zeros(1 << 16, np.int32)
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -87,19 +87,33 @@ class Encoder:
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Take words into the memo; letters, with a mark after them or not, go straight to the library's model."""
-        plain = [w for w in new if w.isalpha()]
+    def _learn(self, new: list[str]) -> list[str]:
+        """Take words into the memo and return them in its order; letters, with a mark after them or not, go straight to the library's model."""
+        plain, rest = [], []
+        marked: dict[tuple[str, str], tuple[list[str], list[str]]] = {(lead, mark): ([], []) for lead in self.leads for mark in self.marks}
+        for w in new:
+            if w.isalpha():
+                plain.append(w)
+                continue
+            lead = w[0] if w[:1] in self.lead else ""
+            mark = w[-1] if w[-1:] in self.marks else ""
+            body = w[len(lead) : len(w) - len(mark)]
+            if body.isalpha():
+                words, bodies = marked[lead, mark]
+                words.append(w), bodies.append(body)
+            else:
+                rest.append(w)
+        order = list(plain)
         self._add_letters(plain, plain, self.space, [], [])
-        other = list(set(new).difference(plain))
-        for lead, (first, before) in self.leads.items():
-            mine = [w for w in other if w[0] == lead] if lead else other
-            for mark, after in self.marks.items():
-                words = [w for w in mine if (w[-1] == mark if mark else lead) and w[bool(lead) : -1 if mark else None].isalpha()]
-                self._add_letters(words, [w[bool(lead) : -1 if mark else None] for w in words], first, before, after)
-        other = list(set(other).difference(self.index))
-        rest = self.direct([self.lead.get(w[:1], " ") + w[w[:1] in self.lead :] for w in other])
-        self._append(other, np.concatenate([np.zeros(0, np.int32), *rest]), np.fromiter(map(len, rest), np.int64, len(rest)))
+        for (lead, mark), (words, bodies) in marked.items():
+            if words:
+                self._add_letters(words, bodies, *self.leads[lead], self.marks[mark])
+                order += words
+        ids = self.direct([self.lead.get(w[:1], " ") + w[w[:1] in self.lead :] for w in rest])
+        self._append(rest, np.concatenate([np.zeros(0, np.int32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids)))
+        order += rest
+        self.known = pa.concat_arrays([self.known, pa.array(order, pa.large_string())])
+        return order
 
     def _add_letters(self, words: list[str], bodies: list[str], first: str, before: list[int], after: list[int]) -> None:
         """Words whose ids are ``before``, those of ``first`` and the letters of the body, and ``after``."""
@@ -115,8 +129,8 @@ class Encoder:
         self._append(words, ids, sizes)
 
     def _append(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first, total = len(self.index), len(ids)
-        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        first, total = self.count, len(ids)
+        self.count += len(new)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while first + len(new) > len(self.sizes):
@@ -128,32 +142,34 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the words seen more than once since the last time, at most half of the memo."""
-        at = np.flatnonzero(self.seen[: len(self.index)] > 1)[: self.memo // 2]
-        mask = np.zeros(len(self.index), bool)
-        mask[at] = True
-        kept = list(compress(self.index, mask.tolist()))
+        at = np.flatnonzero(self.seen[: len(self.known)] > 1)[: self.memo // 2]
+        kept = self.known.take(pa.array(at))
         sizes, starts, pool = self.sizes[at], self.starts[at], self.pool
         self._restart()
         ends = np.cumsum(sizes)
         ids = pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        self.index = dict(zip(kept, range(len(kept)), strict=True))
+        self.known, self.count = kept, len(kept)
         self.pool, self.used = np.concatenate([ids, np.zeros(1 << 16, np.int32)]), len(ids)
         self.sizes, self.starts = (np.concatenate([x, np.zeros(1 << 14, np.int64)]) for x in (sizes, ends - sizes))
         self.seen = np.zeros(len(self.sizes), np.int32)
 
-    def _places(self, words: list[str], pieces: bool = False) -> np.ndarray:
-        """Where the memo has the words, after learning those that it lacks; -1 for a word beyond its rule.
+    def _places(self, words: pa.Array, pieces: bool = False) -> np.ndarray:
+        """Where the memo has these different words, after learning those that it lacks; -1 for a word beyond its rule.
 
         ``pieces``: they are pre-tokens, to which the rule on white space does not apply.
         """
-        if len(self.index) > self.memo:
+        if len(self.known) > self.memo:
             self._forget()
-        if new := set(words).difference(self.index):
-            if not pieces and (beyond := {w for w in new if UNUSUAL.search(w)}):
-                self._learn(list(new - beyond))
-                return np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
-            self._learn(list(new))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            new = words.take(pa.array(lacking)).to_pylist()
+            beyond = set() if pieces else {w for w in new if UNUSUAL.search(w)}
+            first = len(self.known)
+            order = self._learn([w for w in new if w not in beyond] if beyond else new)
+            place = dict(zip(order, range(first, first + len(order)), strict=True))
+            at[lacking] = np.fromiter((place.get(w, -1) for w in new), np.int64, len(new))
+        return at
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in a row, and how many each has."""
@@ -168,7 +184,8 @@ class Encoder:
         """Ids of a text that is split into pre-tokens bit by bit."""
         found, out = ("\0" + m.group() for m in self.pattern.finditer(text)), [np.zeros(0, np.int32)]
         while part := list(islice(found, AT_ONCE)):
-            out.append(self._gather(self._places(part, True))[0])
+            coded = pa.array(part, pa.large_string()).dictionary_encode()
+            out.append(self._gather(self._places(coded.dictionary, True)[coded.indices.to_numpy()])[0])
         return np.concatenate(out)
 
     def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +194,12 @@ class Encoder:
         own = np.array(pc.greater(pc.binary_length(texts), 0), bool) & self.splits
         for name in [*self.special, "\0", "\x01"]:
             own &= ~np.array(pc.match_substring(texts, name), bool)
-        lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(own)), "\n", " \x01"), " ")
+        # no space before the first word of a text
+        marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.replace_substring(texts.filter(pa.array(own)), "\n", " \x01"), pa.scalar("", pa.large_string()))
+        lists = pc.split_pattern(marked, " ")
         firsts, coded = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
         firsts -= firsts[0]
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        starts = ["\0" + words[i] for i in at[firsts[:-1]]]  # no space before the first word of a text
-        place = self._places(words + starts)
-        first, at = place[len(words) :], place[: len(words)][at]
-        at[firsts[:-1]] = first
+        at = self._places(coded.dictionary)[coded.indices.to_numpy()]
         if (at < 0).any():  # texts that hold a word beyond the rule
             hit = np.add.reduceat(at < 0, firsts[:-1]) > 0
             own[np.flatnonzero(own)[hit]] = False
