@@ -1,6 +1,8 @@
 import hashlib
+import math
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -81,3 +83,41 @@ def test_odd_rows(spark):
     assert media.read(media.store(none(spark))).count() == 0
     broken = spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"abc"))], "doc_id long, n_bytes long, media binary")
     assert {r["doc_id"]: r["status"] for r in media.read(broken).collect()} == {1: "null", 2: "no PNG signature"}
+
+
+def plain_hash(samples):
+    """The hash by its definition: means over 32 x 32 equal cells, cosine sums, bits above the median of all but the first."""
+    high, wide = samples.shape
+
+    def shrink(rows):
+        n, out = len(rows), []
+        for k in range(32):
+            a, b = Fraction(k * n, 32), Fraction((k + 1) * n, 32)
+            parts = [(min(b, i + 1) - max(a, i), rows[i]) for i in range(math.floor(a), math.ceil(b))]
+            out.append([float(sum(w * Fraction(r[j]) for w, r in parts) / (b - a)) for j in range(len(rows[0]))])
+        return out
+
+    small = list(zip(*shrink([list(c) for c in zip(*shrink(samples.tolist()))])))
+    low = []
+    for u in range(8):
+        for v in range(8):
+            low.append(round(sum(small[i][j] * math.cos(math.pi * u * (i + 0.5) / 32) * math.cos(math.pi * v * (j + 0.5) / 32) for i in range(32) for j in range(32)), 6))
+    middle = sorted(low[1:])[31]
+    return sum((x > middle) << (63 - k) for k, x in enumerate(low)).to_bytes(8, "big")
+
+
+def test_feature_of_the_query_by_its_definition(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in op1_media(spark, "/root/testdata/sf0.001").collect()}
+    for doc in sorted(texts, key=lambda d: len(texts[d] or ""))[::40]:
+        raw = (texts[doc] or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        image = media.encode(payload, 64)
+        assert rows[doc]["media_sha256"] == hashlib.sha256(image).hexdigest() and rows[doc]["media_bytes"] == len(image)
+        assert rows[doc]["feature"] == plain_hash(np.frombuffer(payload, np.uint8).reshape(-1, 64)).hex()
+
+
+def test_very_long_texts(spark):
+    text = "a very long text " * 60_000
+    row = media.read(media.store(spark.createDataFrame([(1, text)], "doc_id long, text string")), pixels=True).first()
+    assert row["status"] == "ok" and row["pixels"][: row["n_bytes"]] == text.encode()
