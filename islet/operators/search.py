@@ -109,18 +109,20 @@ def rounds(tree: DataFrame) -> DataFrame:
 
 
 def subtrees(tree: DataFrame) -> DataFrame:
-    """``id, subtree``: vertices at and below each vertex of the tree, summed level by level from the deepest."""
-    kept = stage(tree.select("id", "parent", "level"), "tree")
+    """``id, subtree``: vertices at and below each vertex of the tree, summed level by level from the deepest.
+
+    The tree is written in ranges of levels, so that a level's scan skips the row groups of others;
+    a level of most vertices is several ranges. The result is one scan of all levels.
+    """
+    kept = stage(tree.select("id", "parent", "level").repartitionByRange("level", "id").sortWithinPartitions("level"), "tree")
     deepest = kept.agg(F.max("level")).first()[0]
     if deepest is None:
         return kept.select("id", F.lit(1).cast("long").alias("subtree")).limit(0)
     counted = stage(kept.where(F.col("level") == deepest).select("id", "parent", F.lit(1).cast("long").alias("subtree")), "subtree")
-    parts = [counted]
+    done = [counted]
     for level in range(deepest - 1, -1, -1):
         below = counted.groupBy(F.col("parent").alias("id")).agg(F.sum("subtree").alias("n"))
         counted = stage(kept.where(F.col("level") == level).join(below, "id", "left").select("id", "parent", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("subtree")), "subtree")
-        parts.append(counted)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("id", "subtree")
+        done.append(counted)
+    drop(kept)
+    return gather(done).select("id", "subtree")
