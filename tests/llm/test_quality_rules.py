@@ -1,4 +1,8 @@
+import ast
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -46,6 +50,48 @@ def test_odd_rows(spark):
     assert q.score(none(spark).select("doc_id", "text")).count() == 0
 
 
+LONG = [
+    "a b c a b c a b c", "x y\nx y\n\n \nx y", "a a a a", "a b", "p q r s p q r", "\x0ba\x0cb c d", " \n\t \n" * 9, "w" * 50, "  a" + " " * 40 + "b c a b c  ",
+    "Who?! Me... \U0001d400\U0001d401 \u00c9t\u00e9! # $$ a.b\n" * 5 + "\n\n", "one two\nthree four five one two\nthree four\nthree four", "\U0001f600x\U0001f600 " * 20,
+]
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64])
+def test_pieces_count_what_whole_texts_do(spark, monkeypatch, piece):
+    monkeypatch.setattr(q, "PIECE", piece)
+    texts = spark.createDataFrame(list(enumerate(LONG)), "_n long, _long string")
+    assert {r["_n"]: r["f"] for r in q.long_features(texts).collect()} == {r["_n"]: r["f"] for r in q.features(texts, "_long").collect()}
+
+
+def test_long_texts_are_judged_like_short_ones(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(odd(spark).select("doc_id", "text", "lang", "source", "n_chars"), allowMissingColumns=True)
+    ways = []
+    for longest, piece in ((1 << 20, 1 << 16), (2000, 300), (0, 300)):
+        monkeypatch.setattr(q, "LONGEST", longest), monkeypatch.setattr(q, "PIECE", piece)
+        scored, kept = q.score(docs), q.keep(docs)
+        ways.append((scored.columns, sorted(map(str, scored.collect())), kept.columns, sorted(map(str, kept.collect()))))
+    assert ways[0] == ways[1] == ways[2]
+
+
+def test_text_of_many_megabytes_fits_a_small_heap(tmp_path):
+    """6 million words in one row took over 1.8 GB of heap as arrays."""
+    code = """if True:
+        import sys
+        from pyspark.sql import SparkSession, functions as F
+        from islet.llm import quality_rules as q
+        spark = SparkSession.builder.master("local[1]").config(map={"spark.ui.enabled": "false", "spark.checkpoint.dir": sys.argv[1], "spark.sql.shuffle.partitions": "8"}).getOrCreate()
+        spark.range(1).select("id", F.expr("repeat('The cat sat on the old mat again. ', 880000)").alias("text")).write.parquet(sys.argv[1] + "/in")
+        print(q.score(spark.read.parquet(sys.argv[1] + "/in")).first()["f"].asDict())
+    """
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 1200m pyspark-shell", "PYTHONPATH": repo}
+    ran = subprocess.run([sys.executable, "-c", code, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert ran.returncode == 0, ran.stderr[-2000:]
+    f = ast.literal_eval(ran.stdout.strip().splitlines()[-1])
+    n = 8 * 880000
+    assert (f["n_words"], f["word_chars"], f["n_repeat_words"], f["n_distinct"], f["n_lines"], f["n_ends"]) == (n, 26 * 880000, n, 8, 1, 880000)
+
+
 def test_junk_goes_and_prose_stays(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     kept = {(r["quality"], r["kept"]): r["n"] for r in q.score(docs.select("doc_id", "text", "quality")).where("not base_failed").groupBy("quality", "kept").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
